@@ -2,6 +2,17 @@
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .mixing import OP8_SQL, op8_mix_sources
+from .packing import op6_pack
+from .quality_classifier import op5_quality_classifier
+from .quality_rules import op1_quality_rules
+from .warc import OP9_SQL, op9_warc
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup, "op8_mix_sources": op8_mix_sources}
-SQL = {"op2_exact_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_pack": op6_pack,
+    "op8_mix_sources": op8_mix_sources,
+    "op9_warc": op9_warc,
+}
+SQL = {"op2_exact_dedup": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_warc": OP9_SQL}
