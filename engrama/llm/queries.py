@@ -2,6 +2,7 @@
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op10_language_id
+from .licenses import op3_license_scan
 from .line_dedup import op4_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .near_dedup import op7_near_dedup
@@ -13,6 +14,7 @@ from .warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_pack": op6_pack,
