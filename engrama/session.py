@@ -1,4 +1,4 @@
-"""What a session needs before Python code of this package can run on its executors."""
+"""What a session needs: the package on its executors, and durable staging in the shared folder."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,21 @@ def ship_package(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{root.name}", "zip", root.parent, root.name))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; a temporary one is set only where that is unset (tests, local mode)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, base, True)
+        base = f"file://{base}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs one read."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
