@@ -59,9 +59,15 @@ def live_sessions(touches: DataFrame, most: int = SESSIONS) -> DataFrame:
     return touches.groupBy("session_id").agg(F.max("tick").alias("tick")).orderBy(F.desc("tick"), "session_id").limit(most)
 
 
-def simulate_session(rows: list[tuple[int, np.ndarray, int, np.ndarray]], slots: int = SLOTS, threshold: float = HIT) -> list[tuple[int, bool, int]]:
-    """For lookups (seq, query, best node, its vector) in order: (seq, hit, node returned). A miss caches the best node."""
-    cache: OrderedDict[int, np.ndarray] = OrderedDict()
+Held = list[tuple[int, np.ndarray]]
+
+
+def simulate_session(rows: list[tuple[int, np.ndarray, int, np.ndarray]], slots: int = SLOTS, threshold: float = HIT, held: Held = ()) -> tuple[list[tuple[int, bool, int]], Held]:
+    """For lookups (seq, query, best node, its vector) in order: (seq, hit, node returned), and the cache in the end.
+
+    A miss caches the best node; held is the cache in the beginning, oldest entry first.
+    """
+    cache: OrderedDict[int, np.ndarray] = OrderedDict(held)
     out = []
     for seq, query, node, vector in rows:
         answer, top = None, threshold
@@ -77,7 +83,7 @@ def simulate_session(rows: list[tuple[int, np.ndarray, int, np.ndarray]], slots:
             if len(cache) > slots:
                 cache.popitem(last=False)
         out.append((seq, answer is not None, node if answer is None else answer))
-    return out
+    return out, list(cache.items())
 
 
 def simulate(lookups: DataFrame, slots: int = SLOTS, threshold: float = HIT) -> DataFrame:
@@ -89,7 +95,7 @@ def simulate(lookups: DataFrame, slots: int = SLOTS, threshold: float = HIT) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         rows = [(int(s), np.asarray(q, float), int(i), np.asarray(v, float)) for s, q, i, v in zip(pdf["seq"], pdf["qv"], pdf["best_id"], pdf["best_v"], strict=True)]
-        out = pd.DataFrame(simulate_session(rows, slots, threshold), columns=["seq", "hit", "node_id"])
+        out = pd.DataFrame(simulate_session(rows, slots, threshold)[0], columns=["seq", "hit", "node_id"])
         out.insert(0, "session_id", pdf["session_id"].iloc[0])
         return out
 

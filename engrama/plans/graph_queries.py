@@ -101,7 +101,7 @@ SQL = {
         """mixed_ AS (SELECT src, dst FROM edges WHERE relation <> 'REF' UNION SELECT dst, src FROM edges WHERE relation <> 'REF'),
 s0 AS (SELECT id, 1.0::DOUBLE AS a FROM log WHERE turn = 0), s1 AS (SELECT dst AS id, sum(a * 0.5) AS a FROM s0 JOIN mixed_ ON src = id GROUP BY dst),
 s2 AS (SELECT dst AS id, sum(a * 0.5) AS a FROM s1 JOIN mixed_ ON src = id GROUP BY dst)
-SELECT id, round(sum(a), 6) AS activation FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY id""",
+SELECT id, round(sum(a), 6) + 0.0 AS activation FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY id""",
     ),
     "shared_anchor_clusters": with_("log", f"r AS (SELECT id, (id - 1) // {fx.TURNS} % 37 * 100 + turn % 5 AS dst FROM log WHERE role = 0) SELECT id, min(id) OVER (PARTITION BY dst) AS cluster FROM r"),
     "prune_eligible": with_("edges", f"{_PRUNED} SELECT id FROM pruned"),

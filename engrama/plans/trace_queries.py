@@ -194,15 +194,15 @@ SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DE
 a AS (SELECT *, max((age = 1 AND role = 0)::INT) OVER (PARTITION BY session_id) AS asked FROM r) SELECT session_id, id, (age - asked)::INT AS age FROM a WHERE age > asked AND age <= asked + 4""",
     ),
     "grounded_events": with_("log nodes", "SELECT log.id, atlas_id, metadata AS concept FROM log LEFT JOIN nodes ON nodes.id = atlas_id"),
-    "gc_ratio": with_("log", "SELECT role, count(*) AS before, count_if(flags = 0)::BIGINT AS after, round(1 - count_if(flags = 0) / count(*), 6) AS gc_ratio FROM log GROUP BY role"),
+    "gc_ratio": with_("log", "SELECT role, count(*) AS before, count_if(flags = 0)::BIGINT AS after, round(1 - count_if(flags = 0) / count(*), 6) + 0.0 AS gc_ratio FROM log GROUP BY role"),
     "wal_replay_prefix": with_("records", "SELECT seq, payload FROM records WHERE seq < coalesce((SELECT min(seq) FROM records WHERE checksum <> md5(payload) OR payload IS NULL), 9223372036854775807)"),
-    "cold_miss": with_("asked nodes", f"{_TOP.format('id % 4 <> 0')} SELECT qid, round(greatest(0.0, s), 6) AS best, s < 0.65 AS needs_cloud FROM ranked WHERE k = 1"),
+    "cold_miss": with_("asked nodes", f"{_TOP.format('id % 4 <> 0')} SELECT qid, round(greatest(0.0, s), 6) + 0.0 AS best, s < 0.65 AS needs_cloud FROM ranked WHERE k = 1"),
     "merge_dedupe": with_(
         "asked nodes",
         """scored AS (SELECT qid, id, list_cosine_similarity(qv, v) AS s FROM asked, nodes),
 l AS (SELECT qid, id, s * 0.9::DOUBLE AS s FROM scored WHERE id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY scored.s DESC, id) <= 5),
 c AS (SELECT qid, id, s FROM scored WHERE id % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5)
-SELECT qid, id, round(max(s), 6) AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM c) GROUP BY qid, id""",
+SELECT qid, id, round(max(s), 6) + 0.0 AS score FROM (SELECT * FROM l UNION ALL SELECT * FROM c) GROUP BY qid, id""",
     ),
     "tiered_query": with_(
         "asked nodes",
@@ -211,22 +211,22 @@ l AS (SELECT qid, id, s FROM scored WHERE id % 4 <> 0 QUALIFY row_number() OVER
 c AS (SELECT qid, id, s FROM scored WHERE id % 4 = 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 3),
 f AS (SELECT qid, greatest(0.0, max(s)) < 0.65 AS cold FROM l GROUP BY qid),
 m AS (SELECT * FROM l UNION ALL SELECT c.* FROM c JOIN f USING (qid) WHERE cold)
-SELECT qid, id, round(s, 6) AS score, cold AS needs_cloud, max(s) OVER (PARTITION BY qid) >= 0.85 AS hit FROM m JOIN f USING (qid)""",
+SELECT qid, id, round(s, 6) + 0.0 AS score, cold AS needs_cloud, max(s) OVER (PARTITION BY qid) >= 0.85 AS hit FROM m JOIN f USING (qid)""",
     ),
-    "cloud_rate": with_("asked nodes", f"{_TOP.format('id % 4 <> 0')} SELECT count(*) AS queries, round(avg((s < 0.65)::INT), 6) AS cloud_rate FROM ranked WHERE k = 1"),
-    "hit_rate_rolling": with_("telemetry", "SELECT session_id, seq, best_similarity >= 0.85 AS hit, round(avg((best_similarity >= 0.85)::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS 99 PRECEDING), 6) AS hit_rate FROM telemetry"),
-    "ema_centroid": with_("telemetry", f"{_POS}, {_MEANS} SELECT session_id, seq, pos::BIGINT AS pos, round(ema, 6) AS ema FROM mixed_"),
-    "recent_mean": with_("telemetry", f"{_POS}, {_MEANS} SELECT session_id, seq, pos::BIGINT AS pos, round(mean, 6) AS mean FROM mixed_ WHERE n >= 100"),
-    "drift_jsd": with_("telemetry", f"{_POS}, {_MEANS}, {_DRIFT} SELECT session_id, seq, round(drift, 8) AS drift FROM drifts"),
+    "cloud_rate": with_("asked nodes", f"{_TOP.format('id % 4 <> 0')} SELECT count(*) AS queries, round(avg((s < 0.65)::INT), 6) + 0.0 AS cloud_rate FROM ranked WHERE k = 1"),
+    "hit_rate_rolling": with_("telemetry", "SELECT session_id, seq, best_similarity >= 0.85 AS hit, round(avg((best_similarity >= 0.85)::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS 99 PRECEDING), 6) + 0.0 AS hit_rate FROM telemetry"),
+    "ema_centroid": with_("telemetry", f"{_POS}, {_MEANS} SELECT session_id, seq, pos::BIGINT AS pos, round(ema, 6) + 0.0 AS ema FROM mixed_"),
+    "recent_mean": with_("telemetry", f"{_POS}, {_MEANS} SELECT session_id, seq, pos::BIGINT AS pos, round(mean, 6) + 0.0 AS mean FROM mixed_ WHERE n >= 100"),
+    "drift_jsd": with_("telemetry", f"{_POS}, {_MEANS}, {_DRIFT} SELECT session_id, seq, round(drift, 8) + 0.0 AS drift FROM drifts"),
     "drift_alerts": with_(
         "telemetry",
         f"""{_POS}, {_MEANS}, {_DRIFT}, rates AS (SELECT session_id, seq, best_similarity >= 0.85 AS hit, avg((best_similarity >= 0.85)::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS 999 PRECEDING) AS rate, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM telemetry)
-SELECT session_id, seq, hit, round(rate, 6) AS hit_rate, round(drift, 8) AS drift, n >= 100 AND (rate < 0.7 OR drift > 0.15) AS alert FROM rates JOIN drifts USING (session_id, seq)""",
+SELECT session_id, seq, hit, round(rate, 6) + 0.0 AS hit_rate, round(drift, 8) + 0.0 AS drift, n >= 100 AND (rate < 0.7 OR drift > 0.15) AS alert FROM rates JOIN drifts USING (session_id, seq)""",
     ),
     "semantic_inertia": with_(
         "nodes",
         """t AS (SELECT id % 7 AS s, id, v, lag(v) OVER (PARTITION BY id % 7 ORDER BY id) AS b FROM nodes)
-SELECT 's' || s AS session_id, count(*) AS pairs, round(avg((list_cosine_similarity(b, v) > 0.05)::INT), 6) AS inertia FROM t WHERE b IS NOT NULL GROUP BY s""",
+SELECT 's' || s AS session_id, count(*) AS pairs, round(avg((list_cosine_similarity(b, v) > 0.05)::INT), 6) + 0.0 AS inertia FROM t WHERE b IS NOT NULL GROUP BY s""",
     ),
-    "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS stddev, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
+    "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS stddev, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM events WHERE value IS NOT NULL GROUP BY event_type",
 }

@@ -145,7 +145,7 @@ def beam_sql(width: int, nodes: str = "SELECT * FROM nodes WHERE flags = 0", sco
     for k in range(1, levels + 1):
         body.append(f"l{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS place FROM (SELECT b.qid, b.qv, {k} AS level, n.id, {score} AS s FROM l{k - 1} b JOIN live n ON n.parent_id = b.id)) WHERE place <= {width})")
     path = " UNION ALL ".join(f"SELECT qid, level, id, s FROM l{k} WHERE place = 1" for k in range(levels + 1))
-    return with_(fixtures, ",\n".join(body) + f", path AS ({path}) " + (select or "SELECT qid, level, id, round(s, 6) AS score FROM path"))
+    return with_(fixtures, ",\n".join(body) + f", path AS ({path}) " + (select or "SELECT qid, level, id, round(s, 6) + 0.0 AS score FROM path"))
 
 
 _LINKED = "linked AS (SELECT *, parent_id IS NOT NULL AND id - min(id) OVER (PARTITION BY parent_id) = row_number() OVER (PARTITION BY parent_id ORDER BY id) - 1 AS linked FROM gap_nodes)"
@@ -167,7 +167,7 @@ QUERIES = {
 SQL = {
     "tree_parents": with_("nodes", "SELECT n.id, n.parent_id, count(c.id) AS n_children FROM nodes n LEFT JOIN nodes c ON c.parent_id = n.id GROUP BY n.id, n.parent_id"),
     "linked_children": with_("gap_nodes", f"{_LINKED} SELECT id, parent_id, linked FROM linked"),
-    "get_children": with_("gap_nodes", f"{_LINKED} SELECT parent_id, id, round(v[1], 6) AS p0, round(v[2], 6) AS p1, round(v[3], 6) AS p2 FROM linked WHERE linked AND parent_id % 20 = 0"),
+    "get_children": with_("gap_nodes", f"{_LINKED} SELECT parent_id, id, round(v[1], 6) + 0.0 AS p0, round(v[2], 6) + 0.0 AS p1, round(v[3], 6) + 0.0 AS p2 FROM linked WHERE linked AND parent_id % 20 = 0"),
     "tree_depth": _DEPTH,
     "beam1": beam_sql(1),
     "beam3": beam_sql(3),
@@ -176,7 +176,7 @@ SQL = {
     "navigate_merge_delta": beam_sql(
         3,
         "SELECT * FROM nodes WHERE flags = 0 AND NOT is_delta",
-        select="""SELECT qid, id, round(s, 6) AS score, is_delta, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, is_delta, id)::INT AS rank FROM (
+        select="""SELECT qid, id, round(s, 6) + 0.0 AS score, is_delta, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, is_delta, id)::INT AS rank FROM (
 SELECT qid, id, s, false AS is_delta FROM path UNION ALL SELECT qid, id, list_cosine_similarity(qv, v), true FROM asked, nodes WHERE is_delta AND flags = 0)) WHERE rank <= 10""",
     ),
     "tombstone_count": with_("nodes", "SELECT layer_id, count(*) AS total, count_if(flags & 1 <> 0)::BIGINT AS dead FROM nodes GROUP BY layer_id"),
@@ -191,15 +191,15 @@ CASE WHEN id BETWEEN 1 AND 30 THEN 1 ELSE flags END AS flags, CASE WHEN id BETWE
 UNION ALL SELECT max(id) + 1, 0, 2, 0.0 FROM nodes""",
     ),
     "dream_cycle": with_("nodes", "SELECT count(*) AS nodes_before, count_if(flags = 1)::BIGINT AS dead_before, count_if(flags = 0 AND id BETWEEN 1 AND 30)::BIGINT AS consolidated, (count_if(flags = 0 AND NOT id BETWEEN 1 AND 30) + 1)::BIGINT AS nodes_after, true AS ran FROM nodes"),
-    "dream_pressure": with_("nodes", "SELECT count(*) AS total, count_if(flags = 1)::BIGINT AS dead, round(count_if(flags = 1) / count(*), 6) AS dead_share, round(count(*) * 576 / (1024.0 * 1024.0), 6)::DOUBLE AS size_mb, count_if(flags = 1) / count(*) > 0.25 OR count(*) * 576 / (1024.0 * 1024.0) > 128 AS should_dream FROM nodes"),
+    "dream_pressure": with_("nodes", "SELECT count(*) AS total, count_if(flags = 1)::BIGINT AS dead, round(count_if(flags = 1) / count(*), 6) + 0.0 AS dead_share, round(count(*) * 576 / (1024.0 * 1024.0), 6)::DOUBLE AS size_mb, count_if(flags = 1) / count(*) > 0.25 OR count(*) * 576 / (1024.0 * 1024.0) > 128 AS should_dream FROM nodes"),
     "stub_summary": with_("log", "s AS (SELECT session_id, string_agg(text, ' | ' ORDER BY id) AS s FROM log WHERE text <> '' GROUP BY session_id) SELECT session_id, CASE WHEN length(s) > 250 THEN substring(s, 1, 250) || '...' ELSE s END AS summary FROM s"),
-    "block_centroids": with_("nodes", f"{_BLOCKS} SELECT block_id, n, first_ts, last_ts, sealed, pos::BIGINT AS pos, round(m, 6) AS m FROM facts JOIN means USING (block_id)"),
+    "block_centroids": with_("nodes", f"{_BLOCKS} SELECT block_id, n, first_ts, last_ts, sealed, pos::BIGINT AS pos, round(m, 6) + 0.0 AS m FROM facts JOIN means USING (block_id)"),
     "block_search": with_(
         "nodes asked",
         f"""{_BLOCKS}, mid AS (SELECT block_id, list(m ORDER BY pos) AS c FROM means GROUP BY block_id),
 near AS (SELECT qid, qv, block_id FROM asked, mid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY list_cosine_similarity(qv, c) DESC, block_id) <= 3),
 hits AS (SELECT qid, id, list_cosine_similarity(qv, v) AS s FROM near JOIN blocked USING (block_id))
-SELECT qid, id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM hits QUALIFY rank <= 5""",
+SELECT qid, id, round(s, 6) + 0.0 AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM hits QUALIFY rank <= 5""",
     ),
     "cache_lru_snapshot": with_("nodes", f"{_INSERTS} SELECT node_id, max(tick) AS tick FROM inserts GROUP BY node_id ORDER BY tick DESC, node_id LIMIT 64"),
     "cache_l1_l2": with_(
@@ -209,7 +209,7 @@ two AS (SELECT node_id, max(tick) AS tick, arg_max(v, tick) AS v FROM inserts GR
 a AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked JOIN one ON session_id = 's' || (qid % 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1),
 b AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked, two QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1)
 SELECT q.qid, CASE WHEN a.s >= 0.85 THEN 1 WHEN b.s >= 0.85 THEN 2 ELSE 0 END::BIGINT AS level,
-CASE WHEN a.s >= 0.85 THEN a.id WHEN b.s >= 0.85 THEN b.id END AS id, round(CASE WHEN a.s >= 0.85 THEN a.s WHEN b.s >= 0.85 THEN b.s END, 6) AS score
+CASE WHEN a.s >= 0.85 THEN a.id WHEN b.s >= 0.85 THEN b.id END AS id, round(CASE WHEN a.s >= 0.85 THEN a.s WHEN b.s >= 0.85 THEN b.s END, 6) + 0.0 AS score
 FROM asked q LEFT JOIN a USING (qid) LEFT JOIN b USING (qid)""",
     ),
     "cache_sessions_lru": with_("log", "SELECT session_id, max(id) AS tick FROM log GROUP BY session_id ORDER BY tick DESC, session_id LIMIT 20"),

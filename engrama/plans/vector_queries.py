@@ -102,23 +102,23 @@ def _kl(p: str, q: str) -> str:
 
 QUERIES = {f.__name__: f for f in (knn_topk, cosine_pairs, knn_prefilter_layer, knn_postfilter_layer, int8_quantize, int8_knn, int8_error, int8_dot, node_stride, l2_normalise, softmax_jsd, zero_pad, vector_preview)}
 SQL = {
-    "cosine_pairs": with_("nodes", "SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(list_inner_product(a.v, b.v), 6) AS dot FROM nodes a JOIN nodes b ON b.id = a.id + 1"),
-    "knn_topk": with_("nodes asked", f"{_SCORED}, {_RANKED.format('scored')} SELECT qid, id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 5"),
-    "knn_prefilter_layer": with_("nodes asked", f"{_SCORED}, seen AS (SELECT * FROM scored WHERE layer_id IN ('layer_0', 'layer_2')), {_RANKED.format('seen')} SELECT qid, id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 5"),
-    "knn_postfilter_layer": with_("nodes asked", f"{_SCORED}, {_RANKED.format('scored')} SELECT qid, id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 5 AND layer_id IN ('layer_0', 'layer_2')"),
-    "int8_quantize": with_("nodes", f"{_CODES} SELECT id, round(scale, 9) AS scale, list_sum(q)::BIGINT AS q_sum, list_sum(list_transform(q, lambda x: abs(x)))::BIGINT AS q_abs_sum, list_max(q)::BIGINT AS q_max FROM quantized"),
+    "cosine_pairs": with_("nodes", "SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine, round(list_inner_product(a.v, b.v), 6) + 0.0 AS dot FROM nodes a JOIN nodes b ON b.id = a.id + 1"),
+    "knn_topk": with_("nodes asked", f"{_SCORED}, {_RANKED.format('scored')} SELECT qid, id, round(s, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5"),
+    "knn_prefilter_layer": with_("nodes asked", f"{_SCORED}, seen AS (SELECT * FROM scored WHERE layer_id IN ('layer_0', 'layer_2')), {_RANKED.format('seen')} SELECT qid, id, round(s, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5"),
+    "knn_postfilter_layer": with_("nodes asked", f"{_SCORED}, {_RANKED.format('scored')} SELECT qid, id, round(s, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5 AND layer_id IN ('layer_0', 'layer_2')"),
+    "int8_quantize": with_("nodes", f"{_CODES} SELECT id, round(scale, 9) + 0.0 AS scale, list_sum(q)::BIGINT AS q_sum, list_sum(list_transform(q, lambda x: abs(x)))::BIGINT AS q_abs_sum, list_max(q)::BIGINT AS q_max FROM quantized"),
     "int8_knn": with_(
         "nodes asked",
         f"""{_CODES}, qc AS (SELECT qid, qv, CASE WHEN top < 1e-10 THEN 1.0 ELSE top / 127.0 END AS scale FROM (SELECT qid, qv, list_max(list_transform(qv, lambda x: abs(x))) AS top FROM asked)),
 qq AS (SELECT qid, scale AS qs, list_transform(qv, lambda x: least(127.0, greatest(-127.0, round(x / scale)))::DOUBLE) AS qc FROM qc),
 scored AS (SELECT qid, id, list_inner_product(qc, q::DOUBLE[]) * qs * scale AS s, '' AS layer_id FROM qq, quantized), {_RANKED.format('scored')}
-SELECT qid, id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 5""",
+SELECT qid, id, round(s, 6) + 0.0 AS score, rank FROM ranked WHERE rank <= 5""",
     ),
-    "int8_error": with_("nodes", f"{_CODES}, gaps AS (SELECT id, scale, list_max(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2] * scale))) AS gap FROM quantized) SELECT id, round(gap, 6) AS worst, gap <= scale AS within_scale FROM gaps"),
-    "int8_dot": with_("nodes", f"{_CODES} SELECT a.id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS raw, round(list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) * a.scale * b.scale, 6) AS score FROM quantized a JOIN quantized b ON b.id = a.id + 1"),
+    "int8_error": with_("nodes", f"{_CODES}, gaps AS (SELECT id, scale, list_max(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2] * scale))) AS gap FROM quantized) SELECT id, round(gap, 6) + 0.0 AS worst, gap <= scale AS within_scale FROM gaps"),
+    "int8_dot": with_("nodes", f"{_CODES} SELECT a.id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS raw, round(list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[]) * a.scale * b.scale, 6) + 0.0 AS score FROM quantized a JOIN quantized b ON b.id = a.id + 1"),
     "node_stride": with_("nodes", "SELECT layer_id, count(*) AS nodes, sum((64 + len(v) * 4 + octet_length(encode(metadata)) + 63) // 64 * 64)::BIGINT AS bytes_fp32, sum((64 + len(v) + octet_length(encode(metadata)) + 63) // 64 * 64)::BIGINT AS bytes_int8 FROM nodes GROUP BY layer_id"),
-    "l2_normalise": with_("asked", "SELECT qid, (generate_subscripts(qv, 1) - 1)::BIGINT AS pos, round(unnest(qv) / (sqrt(list_inner_product(qv, qv)) + 1e-12), 6) AS x FROM asked"),
-    "softmax_jsd": with_("nodes", f"{_SOFT} SELECT id, round({_kl('p', 'q')}, 8) AS kl, round(0.5 * {_kl('p', 'm')} + 0.5 * {_kl('q', 'm')}, 8) AS jsd FROM pairs"),
-    "zero_pad": with_("nodes", "SELECT id, 768::BIGINT AS size, round(list_sum(v), 6) AS total, len(v)::BIGINT AS size_before FROM nodes"),
-    "vector_preview": with_("nodes", "SELECT id, round(v[1], 6) AS p0, round(v[2], 6) AS p1, round(v[3], 6) AS p2 FROM nodes"),
+    "l2_normalise": with_("asked", "SELECT qid, (generate_subscripts(qv, 1) - 1)::BIGINT AS pos, round(unnest(qv) / (sqrt(list_inner_product(qv, qv)) + 1e-12), 6) + 0.0 AS x FROM asked"),
+    "softmax_jsd": with_("nodes", f"{_SOFT} SELECT id, round({_kl('p', 'q')}, 8) + 0.0 AS kl, round(0.5 * {_kl('p', 'm')} + 0.5 * {_kl('q', 'm')}, 8) + 0.0 AS jsd FROM pairs"),
+    "zero_pad": with_("nodes", "SELECT id, 768::BIGINT AS size, round(list_sum(v), 6) + 0.0 AS total, len(v)::BIGINT AS size_before FROM nodes"),
+    "vector_preview": with_("nodes", "SELECT id, round(v[1], 6) + 0.0 AS p0, round(v[2], 6) + 0.0 AS p1, round(v[3], 6) + 0.0 AS p2 FROM nodes"),
 }
