@@ -1,4 +1,4 @@
-"""From posting lists to classes of linked documents, without all pairs inside a class."""
+"""From posting lists to classes of linked documents, without emitting all pairs inside a class."""
 
 from __future__ import annotations
 
@@ -9,52 +9,39 @@ from pyspark.sql import functions as F
 
 from .common import components, stage
 
+#: Lists of up to so many members are compared pair by pair in the second pass, longer ones in blocks.
+SHORT_LIST = 32
 
-def _labelled(members: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return members.withColumn("c", F.col("id"))
-    return members.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
 
-
-def link_classes(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], name: str, most_stars: int = 4) -> DataFrame | None:
+def link_classes(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], confirm_lists: Callable[[DataFrame], DataFrame], name: str, leaders: int = 2) -> DataFrame | None:
     """Classes (id, component) of the ids in at least one confirmed pair; None without any.
 
     members (bucket, id): two ids are candidates if they share a bucket. confirm takes distinct pairs (a, b), a < b, and
-    returns those that hold. In each round every bucket compares its members with one leader, which makes one pair for each
-    posting; the confirmed pairs are joined into classes, and buckets whose members are all in one class are done. The
-    first leader is the smallest id, later ones are drawn by a hash. When few candidate pairs of different classes are left
-    (no more than there are postings), or after most_stars rounds, all of those are compared, so no link between different
-    classes is lost.
+    returns those that hold. In the first pass every bucket compares its members with one or two leaders, the smallest id and
+    one drawn by a hash: as many pairs for each posting at most. The confirmed pairs are joined into classes, and buckets whose
+    members are all in one class are done. In the second pass all candidates of different classes are compared, so no link
+    between different classes is lost: those of lists of up to SHORT_LIST members as pairs, the others by confirm_lists,
+    which takes the open lists (bucket, id, c, n) and returns the pairs of different classes c that hold.
     """
-    edges, classes, tested = None, None, None
-    for turn in range(most_stars):
-        labels = _labelled(members, classes)
-        order = F.col("id") if turn == 0 else F.xxhash64("id", "bucket", F.lit(turn))
-        open_ = labels.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min_by(F.struct("id", "c"), order).alias("lead")).where("lo < hi")
-        pairs = labels.join(open_.select("bucket", F.col("lead.id").alias("lead"), F.col("lead.c").alias("lead_c")), "bucket").where("c <> lead_c")
-        pairs = pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"{name}-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = stage(confirm(pairs), f"{name}-links")
-        if not found.isEmpty():
-            edges = found if edges is None else edges.union(found)
-            classes = components(edges, f"{name}-classes")
-        each = _labelled(members, classes).groupBy("bucket", "c").agg(F.count("*").cast("double").alias("n"))
-        each = each.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left, total = each.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not left:
-            return classes
-        if left <= total:
-            break
-    labels = _labelled(members, classes)
-    open_ = labels.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
+    first = [F.min("id"), F.min_by("id", F.xxhash64("id", "bucket"))][:leaders]
+    leads = members.groupBy("bucket").agg(F.array_distinct(F.array(*first)).alias("leads"))
+    pairs = members.join(leads, "bucket").select("id", F.explode("leads").alias("lead")).where("id <> lead")
+    pairs = stage(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct(), f"{name}-pairs")
+    links = stage(confirm(pairs), f"{name}-links")
+    classes = None if links.isEmpty() else components(links, f"{name}-classes")
+    labels = members.withColumn("c", F.col("id"))
+    if classes is not None:
+        labels = members.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    labels = stage(labels, f"{name}-labels")
+    open_ = labels.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
     labels = stage(labels.join(open_, "bucket"), f"{name}-open")
-    other = labels.select("bucket", F.col("id").alias("b"), F.col("c").alias("bc"))
-    rest = labels.join(other, "bucket").where("id < b and c <> bc").select(F.col("id").alias("a"), "b").distinct()
-    rest = stage(rest.join(tested, ["a", "b"], "left_anti"), f"{name}-rest")
-    found = stage(confirm(rest), f"{name}-links")
+    short, long_ = labels.where(F.col("n") <= SHORT_LIST), labels.where(F.col("n") > SHORT_LIST)
+    other = short.select("bucket", F.col("id").alias("b"), F.col("c").alias("bc"))
+    rest = short.join(other, "bucket").where("id < b and c <> bc").select(F.col("id").alias("a"), "b").distinct()
+    found = confirm(stage(rest.join(pairs, ["a", "b"], "left_anti"), f"{name}-rest"))
+    if not long_.isEmpty():
+        found = found.union(confirm_lists(long_))
+    found = stage(found, f"{name}-links")
     if found.isEmpty():
         return classes
-    return components(found if edges is None else edges.union(found), f"{name}-classes")
+    return components(found if classes is None else found.union(classes.select(F.col("id").alias("a"), F.col("component").alias("b"))), f"{name}-classes")
