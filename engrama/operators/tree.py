@@ -19,6 +19,8 @@ TOP_LIMIT = 50
 MAX_BEAM = 16
 DEAD = 1
 PENALTY = 1e9
+METADATA_BYTES = 255
+LOWEST = -(2**63)
 
 
 def is_dead(flags: str = "flags") -> Column:
@@ -157,3 +159,51 @@ def consolidate(nodes: DataFrame, ids: DataFrame, vector: list[float], metadata:
     row = [(top, parent, [float(x) for x in vector], 2, 0.0, metadata)]
     summary = nodes.sparkSession.createDataFrame(row, "id long, parent_id long, v array<double>, flags int, hub_penalty double, metadata string")
     return kept.unionByName(summary)
+
+
+def insert(nodes: DataFrame, new: DataFrame, dim: int, order: str = "seq") -> DataFrame:
+    """nodes and the rows of new (order, parent_id, v, metadata), which get the next ids in order.
+
+    A vector of another size, or a parent that is not in nodes, raises as soon as its row is computed; metadata is cut to
+    255 bytes. A null parent makes a root.
+    """
+    first = nodes.agg(F.coalesce(F.max("id") + 1, F.lit(0))).first()[0]
+    there = nodes.select(F.col("id").alias("_p"))
+    rows = numbered(new, order, "id", first).join(there, F.col("parent_id") == F.col("_p"), "left")
+    fault = F.when(F.coalesce(F.size("v"), F.lit(-1)) != dim, F.lit("dimension mismatch")).when(F.col("parent_id").isNotNull() & F.col("_p").isNull(), F.lit("unknown parent"))
+    checked = F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(V.doubles("v"))
+    rows = rows.select("id", "parent_id", checked.cast("array<double>").alias("v"), F.lit(0).alias("flags"), F.lit(0.0).alias("hub_penalty"), V.byte_prefix("metadata", METADATA_BYTES).alias("metadata"))
+    return nodes.select(*rows.columns).unionByName(rows)
+
+
+def insert_delta(delta: DataFrame, new: DataFrame, dim: int, order: str = "seq") -> DataFrame:
+    """delta and the rows of new (order, v, metadata), with ids that have the highest bit set and count on.
+
+    A vector of another size is stored as zeros.
+    """
+    first = delta.agg(F.coalesce(F.max("id") + 1, F.lit(LOWEST))).first()[0]
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    fits = F.coalesce(F.size("v"), F.lit(-1)) == dim
+    rows = numbered(new, order, "place").select((F.col("place") + F.lit(first)).alias("id"), F.lit(None).cast("long").alias("parent_id"), F.when(fits, V.doubles("v")).otherwise(zeros).alias("v"), F.lit(0).alias("flags"), F.lit(0.0).alias("hub_penalty"), V.byte_prefix("metadata", METADATA_BYTES).alias("metadata"))
+    return delta.select(*rows.columns).unionByName(rows)
+
+
+def of_dimension(queries: DataFrame, dim: int) -> DataFrame:
+    """Queries whose vector has the dimension: others have no answer."""
+    return queries.where(F.size("qv") == dim)
+
+
+def load_context(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(tick, node_id, v) of the base nodes named by ids (id, tick): inserts that warm a cache."""
+    return nodes.join(ids.select("id", "tick"), "id").select("tick", F.col("id").alias("node_id"), "v")
+
+
+def summarize_and_consolidate(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """nodes with those of ids (two at least) merged into a node of their mean vector and joined metadata."""
+    from . import dream
+
+    chosen = nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    if chosen.count() < 2:
+        raise ValueError("at least two nodes are needed")
+    text = dream.stub_summaries(chosen.select(F.lit(0).alias("g"), "id", F.col("metadata").alias("text")), "g", "id").first()
+    return consolidate(nodes, ids, dream.mean_vector(chosen), text["summary"] if text else "")

@@ -148,3 +148,40 @@ def test_knn_ties_blocks_and_odd_vectors(spark):
     got = knn.knn(q, n, 3, block=2).orderBy("qid", "rank").collect()
     assert [(r["qid"], r["id"]) for r in got] == [(k, i) for k in range(3) for i in range(3)]
     assert knn.knn(q.limit(1), n, 50).count() == 12
+
+
+def test_insert_checks(spark):
+    n = store(spark, [(0, None, [0, 0], 0, "r")])
+    new = lambda *rows: spark.createDataFrame(rows, "seq long, parent_id long, v array<double>, metadata string")
+    got = tree.insert(n, new((5, 0, [1.0, 2.0], "é" * 200), (9, None, [3.0, 4.0], "root")), 2).orderBy("id").collect()
+    assert [(r["id"], r["parent_id"]) for r in got] == [(0, None), (1, 0), (2, None)]
+    assert got[1]["metadata"] == "é" * 127
+    for row, said in (((1, 0, [1.0], "m"), "dimension"), ((1, 99999, [1.0, 2.0], "m"), "unknown parent"), ((1, 0, None, "m"), "dimension")):
+        with pytest.raises(Exception, match=said):
+            tree.insert(n, new(row), 2).collect()
+
+
+def test_delta_ids_have_the_highest_bit(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    rows = spark.createDataFrame([(k, [1.0] * (2 if k else 3), "m") for k in range(3)], "seq long, v array<double>, metadata string")
+    got = tree.insert_delta(empty, rows, 2).orderBy("id").collect()
+    assert [r["id"] & (2**64 - 1) for r in got] == [2**63, 2**63 + 1, 2**63 + 2]
+    assert got[0]["v"] == [0.0, 0.0] and got[2]["v"] == [1.0, 1.0]
+    assert tree.prune_delta(tree.insert_delta(empty, rows, 2), 1).count() == 2
+
+
+def test_manual_consolidation_needs_two(spark):
+    n = store(spark, [(0, None, [1, 0], 0, "r"), (1, 0, [1, 0], 0, "a"), (2, 0, [0, 1], 0, "b")])
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    with pytest.raises(ValueError, match="two"):
+        tree.summarize_and_consolidate(n, ids(1))
+    new = tree.summarize_and_consolidate(n, ids(1, 2)).where("id = 3").first()
+    assert new["metadata"] == "a | b" and new["v"] == pytest.approx([0.5**0.5] * 2)
+
+
+def test_warming_a_cache(spark):
+    from engrama.operators import cache
+
+    n = store(spark, [(0, None, [1, 0], 0, "r"), (1, 0, [0, 1], 0, "a")])
+    warm = tree.load_context(n, spark.createDataFrame([(1, 7), (99, 8)], "id long, tick long"))
+    assert [(r["node_id"], r["tick"]) for r in cache.snapshot(warm).collect()] == [(1, 7)]
