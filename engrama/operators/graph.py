@@ -114,8 +114,8 @@ def link_concepts(navigated: DataFrame, events: DataFrame, top: int = 3) -> Data
 
 
 def active_room(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(session_id, room, id): the children of the concept that each session (session_id, seq, atlas_id) linked last."""
-    last = links.where("atlas_id is not null").groupBy("session_id").agg(F.max_by("atlas_id", "seq").alias("room"))
+    """(session_id, room, id): the children of the concept that each session (session_id, seq, concept_id) linked last."""
+    last = links.where("concept_id is not null").groupBy("session_id").agg(F.max_by("concept_id", "seq").alias("room"))
     return last.join(nodes.select(F.col("parent_id").alias("room"), "id"), "room").select("session_id", "room", "id")
 
 

@@ -1,6 +1,6 @@
 """The episodic log: append-only events in per-session chains, with tombstones and compaction.
 
-Events are rows (id, session_id, role, text, ts, atlas_id, flags); id grows with insertion, flag 1 marks a tombstone.
+Events are rows (id, session_id, role, text, ts, concept_id, flags); id grows with insertion, flag 1 marks a tombstone.
 """
 
 from __future__ import annotations
@@ -104,5 +104,5 @@ def prompt_history(events: DataFrame, turns: int = 6) -> DataFrame:
 
 
 def grounded(events: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Events with the node that atlas_id names, if any."""
-    return events.join(nodes.select(F.col("id").alias("atlas_id"), F.col("metadata").alias("concept")), "atlas_id", "left")
+    """Events with the node that concept_id names, if any."""
+    return events.join(nodes.select(F.col("id").alias("concept_id"), F.col("metadata").alias("concept")), "concept_id", "left")

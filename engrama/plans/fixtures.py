@@ -57,11 +57,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str, dead_every: int = 7) -> DataFrame:
-    """The conversations as a log: (id, session_id, turn, role, text, atlas_id, flags)."""
+    """The conversations as a log: (id, session_id, turn, role, text, concept_id, flags)."""
     c = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
     id_ = F.col("conv_id") * TURNS + F.col("turn") + 1
     flag = F.when((F.col("conv_id") * 3 + F.col("turn")) % dead_every == 0, 1).otherwise(0)
-    return c.select(id_.alias("id"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session_id"), "turn", trace.role_code("role", "other").alias("role"), "text", (id_ % 10).alias("atlas_id"), flag.alias("flags"))
+    return c.select(id_.alias("id"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("session_id"), "turn", trace.role_code("role", "other").alias("role"), "text", (id_ % 10).alias("concept_id"), flag.alias("flags"))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ SQL = {
   SELECT conv_id * {TURNS} + turn + 1 AS id, 'conv-' || conv_id AS session_id, turn,
          CASE lower(role) WHEN 'user' THEN 0 WHEN 'system' THEN 1 WHEN 'concept' THEN 2 WHEN 'summary' THEN 3
               WHEN 'assistant' THEN 10 WHEN 'tool' THEN 11 ELSE 12 END AS role, text,
-         (conv_id * {TURNS} + turn + 1) % 10 AS atlas_id, CASE WHEN (conv_id * 3 + turn) % 7 = 0 THEN 1 ELSE 0 END AS flags
+         (conv_id * {TURNS} + turn + 1) % 10 AS concept_id, CASE WHEN (conv_id * 3 + turn) % 7 = 0 THEN 1 ELSE 0 END AS flags
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)""",
     "edges": """edges AS (
   SELECT prev AS src, id AS dst, 'NEXT' AS relation FROM (SELECT id, lag(id) OVER (PARTITION BY session_id ORDER BY id) AS prev FROM log) WHERE prev IS NOT NULL

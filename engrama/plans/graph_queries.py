@@ -81,7 +81,7 @@ def link_top_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_room(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = fx.events(spark, sf_dir).select("session_id", F.col("id").alias("seq"), "atlas_id")
+    links = fx.events(spark, sf_dir).select("session_id", F.col("id").alias("seq"), "concept_id")
     return graph.active_room(links, fx.nodes(spark, sf_dir))
 
 
@@ -118,5 +118,5 @@ SELECT kind, count(*) AS n, min(vertex) AS first, max(label) AS last_label FROM
         first="asked AS (SELECT log.id AS qid, v AS qv FROM log JOIN nodes ON nodes.id = log.id % (SELECT count(*) FROM nodes) WHERE role = 0 AND log.id % 20 = 1)",
         select="SELECT qid AS src, id AS dst, 'CAUSAL' AS relation FROM path QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 3",
     ),
-    "active_room": with_("log nodes", "l AS (SELECT session_id, arg_max(atlas_id, id) AS room FROM log GROUP BY session_id) SELECT session_id, room, n.id FROM l JOIN nodes n ON n.parent_id = room"),
+    "active_room": with_("log nodes", "l AS (SELECT session_id, arg_max(concept_id, id) AS room FROM log GROUP BY session_id) SELECT session_id, room, n.id FROM l JOIN nodes n ON n.parent_id = room"),
 }

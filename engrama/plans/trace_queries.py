@@ -72,7 +72,7 @@ def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.grounded(fx.events(spark, sf_dir), fx.nodes(spark, sf_dir)).select("id", "atlas_id", "concept")
+    return trace.grounded(fx.events(spark, sf_dir), fx.nodes(spark, sf_dir)).select("id", "concept_id", "concept")
 
 
 def gc_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DE
         """r AS (SELECT session_id, id, role, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS age FROM log WHERE flags = 0),
 a AS (SELECT *, max((age = 1 AND role = 0)::INT) OVER (PARTITION BY session_id) AS asked FROM r) SELECT session_id, id, (age - asked)::INT AS age FROM a WHERE age > asked AND age <= asked + 4""",
     ),
-    "grounded_events": with_("log nodes", "SELECT log.id, atlas_id, metadata AS concept FROM log LEFT JOIN nodes ON nodes.id = atlas_id"),
+    "grounded_events": with_("log nodes", "SELECT log.id, concept_id, metadata AS concept FROM log LEFT JOIN nodes ON nodes.id = concept_id"),
     "gc_ratio": with_("log", "SELECT role, count(*) AS before, count_if(flags = 0)::BIGINT AS after, round(1 - count_if(flags = 0) / count(*), 6) + 0.0 AS gc_ratio FROM log GROUP BY role"),
     "wal_replay_prefix": with_("records", "SELECT seq, payload FROM records WHERE seq < coalesce((SELECT min(seq) FROM records WHERE checksum <> md5(payload) OR payload IS NULL), 9223372036854775807)"),
     "cold_miss": with_("asked nodes", f"{_TOP.format('id % 4 <> 0')} SELECT qid, round(greatest(0.0, s), 6) + 0.0 AS best, s < 0.65 AS needs_cloud FROM ranked WHERE k = 1"),
