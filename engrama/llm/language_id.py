@@ -7,7 +7,7 @@ bytes. The exact code length of a whole text under each tree is the sum over its
 the posterior probability of the winner with equal priors.
 
 Counting runs in Spark (windows of four bytes by language, summed by a shuffle); what comes to the driver is the trees of a
-sample of about docs_per_language (800) documents of each language, taken by a hash of their id, whole texts. Tasks unfold
+sample of about docs_per_language (800) documents of each language, taken by a hash of their id, whole texts, for the max_languages (1000) most frequent languages at most. Tasks unfold
 the trees into tables over the byte values seen, so that a code length is a lookup.
 
 Cases: text is lower-cased; null texts and texts without a letter are `und` with score 0; without anything to learn from
@@ -121,11 +121,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, id_col: str = "doc_id") -> Trees:
-    """Count the trees of the languages of docs (id_col, text, lang)."""
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_languages: int = 1000, id_col: str = "doc_id") -> Trees:
+    """Count the trees of the most frequent languages of docs (id_col, text, lang)."""
     docs = docs.where("lang is not null and text is not null")
-    many = docs.groupBy("lang").count().select(F.col("lang").alias("_l"), (F.lit(docs_per_language << 20) / F.col("count")).alias("_share"))
-    sample = docs.select(id_col, "text", "lang").join(many, F.col("lang") == F.col("_l"))
+    many = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    many = many.select(F.col("lang").alias("_l"), (F.lit(docs_per_language << 20) / F.col("count")).alias("_share"))
+    sample = docs.select(id_col, "text", "lang").join(F.broadcast(many), F.col("lang") == F.col("_l"))
     sample = sample.where(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 20)) < F.col("_share")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
