@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import attach_groups, shared_dir, stage
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string"
-STRETCH = 32 << 20
+STRETCH = 8 << 20
+MOST_TASKS = 20_000
 GAP = 64 << 10
 
 
@@ -138,7 +139,9 @@ RECORDS = "page_id long, url string, record_type string, payload binary, payload
 def read(selected: DataFrame, gap: int = GAP) -> DataFrame:
     """The records of the index rows selected: RECORDS. Of a response, size and digest are those of the payload read."""
     dealt = selected.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    dealt = dealt.repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # by what is to be read, not by the size of the index rows
+    tasks = min(MOST_TASKS, 1 + (selected.agg(F.sum("length")).first()[0] or 0) // STRETCH)
+    dealt = dealt.repartition(int(tasks), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
