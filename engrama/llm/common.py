@@ -1,15 +1,14 @@
-"""Shared pieces: durable staging, skew-proof lookups, and connected components."""
+"""Shared pieces: skew-proof lookups and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engrama.session import shared_dir, stage
+
+__all__ = ["SPACE", "WORD", "attach_groups", "collapsed", "components", "shared_dir", "stage"]
+
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,24 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_SHARE = 1000
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where that is unset (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        atexit.register(shutil.rmtree, base, True)
-        base = f"file://{base}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs one read."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def collapsed(text: Column | str) -> Column:
     """Text with every run of white space as one space; null counts as empty."""
     text = F.col(text) if isinstance(text, str) else text
@@ -46,14 +27,14 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     """Left-join groups (one row per key, with its row count in size) to rows.
 
     Groups of total / HOT_SHARE rows or more, of which there can be only HOT_SHARE, are broadcast. Their rows get a
-    32-bit-tagged substitute key made from the column spread, so that the sort-merge join for the rest stays even.
-    The key column must be a binary of fixed length (a digest).
+    substitute key made from the column spread, so that the sort-merge join for the rest stays even. The key is a binary
+    column: digests, or numbers written in digits.
     """
     values = [c for c in groups.columns if c != key]
     hot_from = max(2, -(-total // HOT_SHARE))
     hot = groups.where(F.col(size) >= hot_from).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values])
     cold = groups.where(F.col(size) < hot_from).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in values])
-    away = F.concat(F.lit("hot-row-"), F.sha2(F.col(spread).cast("string"), 256)).cast("binary")  # never as long as a digest
+    away = F.concat(F.lit("hot-row-"), F.sha2(F.col(spread).cast("string"), 256)).cast("binary")  # longer than any key
     found = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left")
     found = found.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key)).otherwise(away))
     found = found.join(cold.hint("merge"), F.col("_jk") == F.col("_ck"), "left")

@@ -95,10 +95,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     id_col, source_col, text_col = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("text_col", "text")
     plan = mix(docs, **options)
     # copies depends on the source and the hash of the id alone, so one row for each (id, source) decides for all its rows
-    plan = plan.where("taken > 0").select(F.col(id_col).alias("_id"), F.col("skey").alias("_skey"), "copies").distinct()
-    taken = docs.withColumn("_words", n_words(text_col)).where("_words > 0").drop("_words").withColumn("_sk", source_key(source_col))
-    taken = taken.join(plan.withColumnRenamed("copies", "_copies"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sk") == F.col("_skey")))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    plan = plan.where("taken > 0").select(F.col(id_col).alias("__id"), F.col("skey").alias("__skey"), "copies").distinct()
+    taken = docs.withColumn("__words", n_words(text_col)).where("__words > 0").drop("__words").withColumn("__sk", source_key(source_col))
+    taken = taken.join(plan.withColumnRenamed("copies", "__copies"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sk") == F.col("__skey")))
+    return taken.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
