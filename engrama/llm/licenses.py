@@ -23,7 +23,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage
+
 SHINGLE = 5
+#: Templates of a class with no more words than this in all are broadcast, some tens of MB at most.
+BROADCAST_WORDS = 50_000
 WORDS = r"[\p{L}\p{N}]+"
 
 #: Customary notices, as their owners publish them.
@@ -112,6 +116,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     any_anchor = reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in known], F.lit(False))
     rows = docs.select(F.col(id_col).alias("_id"), low.alias("low")).where(any_anchor)
     rows = rows.select("_id", F.xxhash64("low").alias("_tk"), F.regexp_extract_all("low", F.lit(WORDS), F.lit(0)).alias("w"))
+    rows = stage(rows, "license-texts")  # read once for each class of templates
     by_size = lambda n: {k: w for k, w in found.items() if min(len(w), SHINGLE) == n}
     for n in sorted({min(len(w), SHINGLE) for w in found.values()}):
         same = by_size(n)
@@ -130,6 +135,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
             keyed = windows.select("*", F.explode(_bands(F.col("s"), bands, band_rows)).alias("band"))
             forms = spark.createDataFrame([(k, word_shingles(same[k], n)) for k in names], "license string, t array<string>")
             posted = forms.select("*", F.explode(_bands(F.col("t"), bands, band_rows)).alias("band"))
+            if sum(len(same[k]) for k in names) <= BROADCAST_WORDS:
+                posted = F.broadcast(posted)
             hits = keyed.join(posted, "band").select("_id", "_tk", "at", "license", (F.size(F.array_intersect("s", "t")) / F.size("t")).alias("c"))
             out.append(hits.where(F.col("c") >= containment).groupBy("_id", "_tk", "at", "license").agg(F.max("c").alias("c")))
     if not out:
