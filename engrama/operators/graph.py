@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engrama.functions import vectors as V
 from engrama.session import stage
 
+from .knn import similar_above
+
 
 def next_edges(events: DataFrame) -> DataFrame:
     return events.where("prev_id is not null").select(F.col("prev_id").alias("src"), F.col("id").alias("dst"), F.lit("NEXT").alias("relation"))
@@ -20,12 +21,9 @@ def backtrack(events: DataFrame, hops: int) -> DataFrame:
 
 
 def reference_edges(events: DataFrame, concepts: DataFrame, threshold: float) -> DataFrame:
-    """REF edges from events (id, v) to every concept (id, v) more similar than the threshold.
-
-    Concepts are the few that a store has; Spark broadcasts them only if their measured size allows.
-    """
-    pairs = events.select(F.col("id").alias("src"), "v").join(concepts.select(F.col("id").alias("dst"), F.col("v").alias("cv")), V.cosine("v", "cv") > threshold)
-    return pairs.select("src", "dst", F.lit("REF").alias("relation"))
+    """REF edges from events (id, v) to every concept (id, v) more similar than the threshold, in blocks of concepts."""
+    found = similar_above(concepts.select(F.col("id").alias("qid"), "v"), events.select("id", "v"), threshold)
+    return found.select(F.col("id").alias("src"), F.col("qid").alias("dst"), F.lit("REF").alias("relation"))
 
 
 def anchors(edges: DataFrame, events: DataFrame) -> DataFrame:

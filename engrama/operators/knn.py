@@ -44,7 +44,8 @@ def top_in_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(places)
 
 
-def _block(block: list, nodes: DataFrame, k: int, metric: str) -> DataFrame:
+def _block(block: list, nodes: DataFrame, k: int | None, metric: str, above: float = 0.0) -> DataFrame:
+    """Hits of a block of queries: the k best of each in every batch, or with k None all that score more than above."""
     qid = np.array([r["qid"] for r in block], np.int64)
     dim = len(block[0]["v"])
     q = np.array([r["v"] if r["v"] is not None and len(r["v"]) == dim else [0.0] * dim for r in block], float)
@@ -64,7 +65,7 @@ def _block(block: list, nodes: DataFrame, k: int, metric: str) -> DataFrame:
                 x, _ = _matrix(part.column(1), dim)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 scores = q @ unit(x).T
-                rows, at = top_in_batch(scores, ids, k)
+                rows, at = np.nonzero(scores > above) if k is None else top_in_batch(scores, ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(ids[at]), pa.array(scores[rows, at])], ["qid", "id", "score"])
 
     return nodes.select("id", V.doubles("v").alias("v")).where("id is not null and v is not null").mapInArrow(run, HIT)
@@ -89,6 +90,12 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, metric: str = "cosine", bl
     return best(reduce(DataFrame.union, parts), k)
 
 
+def similar_above(queries: DataFrame, nodes: DataFrame, threshold: float, block: int = QUERY_BLOCK) -> DataFrame:
+    """(qid, id, score) of all nodes with a cosine above the threshold; no join, but a pass for each block of queries."""
+    parts = [_block(list(rows), nodes, None, "cosine", threshold) for rows in batched(queries.select("qid", V.doubles("v").alias("v")).where("v is not null").toLocalIterator(), block)]
+    return reduce(DataFrame.union, parts) if parts else queries.sparkSession.createDataFrame([], HIT)
+
+
 def knn_int8(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The same over quantized vectors: the score is the inner product of the codes, times both scales."""
     coded = lambda df, key: df.select(key, V.quantize("v").alias("c")).select(key, V.dequantize("c.q", "c.scale").alias("v"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from engrama.functions import vectors as V
 from engrama.session import stage
 
+from .knn import knn
+
 TOP_LIMIT = 50
 MAX_BEAM = 16
 DEAD = 1
@@ -69,7 +71,7 @@ def beam_path(queries: DataFrame, nodes: DataFrame, width: int = 1, csls: bool =
     q = queries.select("qid", V.doubles("qv").alias("qv"))
     order = W.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
     root = live.where(F.col("id") == 0).select("id", "v", "hub_penalty")
-    beam = q.join(root).select("qid", "qv", F.lit(0).alias("level"), "id", score.alias("score"), F.lit(1).alias("place"))
+    beam = q.join(F.broadcast(root.limit(1))).select("qid", "qv", F.lit(0).alias("level"), "id", score.alias("score"), F.lit(1).alias("place"))
     steps, below = [], live.where("parent_id is not null").select("parent_id", "id", "v", "hub_penalty")
     for level in range(1, most_levels + 1):
         beam = stage(beam, "beam")
@@ -85,8 +87,8 @@ def navigate(queries: DataFrame, nodes: DataFrame, delta: DataFrame | None = Non
     """(qid, id, score, is_delta, rank): the beam's path and all delta nodes, sorted and cut at limit (1 to 50)."""
     out = beam_path(queries, nodes, width, **options).select("qid", "id", "score", F.lit(False).alias("is_delta"))
     if delta is not None:
-        # each query is to be scored with each delta node: the delta is what has come in since the last compaction
-        fresh = queries.select("qid", "qv").crossJoin(delta.where(~is_dead()).select("id", "v")).select("qid", "id", V.cosine("qv", "v").alias("score"), F.lit(True).alias("is_delta"))
+        # no more than limit delta nodes can show
+        fresh = knn(queries.select("qid", F.col("qv").alias("v")), delta.where(~is_dead()), max(1, min(limit, TOP_LIMIT))).select("qid", "id", "score", F.lit(True).alias("is_delta"))
         out = out.union(fresh)
     order = W.partitionBy("qid").orderBy(F.desc("score"), F.asc("is_delta"), F.asc("id"))
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(limit, TOP_LIMIT)))

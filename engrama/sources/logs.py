@@ -44,4 +44,4 @@ def with_fnv1a(records: DataFrame, payload: str = "payload") -> DataFrame:
 def replay(records: DataFrame, valid: Column, seq: str = "seq") -> DataFrame:
     """The records before the first that isn't valid. The bound is one number, found by a partial aggregation."""
     bad = records.where(~F.coalesce(valid, F.lit(False))).agg(F.min(seq).alias("_bad"))
-    return records.join(bad).where(F.col("_bad").isNull() | (F.col(seq) < F.col("_bad"))).drop("_bad")
+    return records.join(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(seq) < F.col("_bad"))).drop("_bad")
