@@ -1,13 +1,11 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines are compared lower-cased and without white space at their ends. Equal lines meet under a 64-bit hash. The shingles of
-a line are all its runs of 8 characters; a shorter line is one shingle. Its signature is taken over the shingles at anchors
-set by content: the starts of words, every eighth character of longer words, and every character of scripts without letter
-case. Lines of up to 64 characters, which have few anchors, have a second signature over all their shingles. Exploding these
-and taking, per line, the minimum of hash ^ constant for 40 constants is one partial aggregation in generated code; each
-constant orders the hashes anew, so two lines agree in a coordinate with the probability of the Jaccard similarity of their
-anchored shingles, which follows that of all. Ten bands of four coordinates find a pair of similarity 0.8 with probability
-0.995 and one of 0.85 with 0.999 (bands_for). Candidates are compared by leaders and open classes (link_classes) and
+a line are all its runs of 8 characters; a shorter line is one shingle. Its signature is taken over all its shingles, at
+every length and in every script: they are cut by position, exploded, and, per line, the minimum of hash ^ constant for 40
+constants is one partial aggregation in generated code; each constant orders the hashes anew, so two lines agree in a
+coordinate with the probability of their Jaccard similarity. Ten bands of four coordinates find a pair of similarity 0.8
+with probability 0.995 and one of 0.85 with 0.999 (bands_for). Candidates are compared by leaders and open classes (link_classes) and
 confirmed by the exact Jaccard similarity of all their shingles; distributed union-find gives components, and of all lines
 of a component the first, by id of the document and place in it, stays.
 
@@ -29,12 +27,7 @@ from .common import attach_groups, stage
 from .links import link_classes
 
 SHINGLE = 8
-#: A piece of a word with the spaces behind it; the look-ahead takes the shingle that begins there. The second is for
-#: scripts of two and more bytes a character, where characters without letter case each begin one.
-ANCHORED = r"(?s)(?=(.{1,8}))[^ ]{1,8} *"
-ANCHORED_WIDE = r"(?s)(?=(.{1,8}))(?:\p{Lo}|[^ \p{Lo}]{1,8}) *"
 BLOCK_LINES = 256
-SHORT_LINE = 64
 LAST = (1 << 63) - 1
 
 
@@ -69,6 +62,20 @@ def shingles(line: Column) -> Column:
     return F.array_distinct(F.when(F.char_length(line) < SHINGLE, short).when(F.octet_length(line) == F.char_length(line), by_position).otherwise(by_pattern))
 
 
+def exploded(lines: DataFrame) -> DataFrame:
+    """(lid, h): a row for each shingle of each line, with repeats; h is the same hash as in shingles().
+
+    Characters of one byte are cut from the bytes; other lines are cut where every character has four, and each shingle is
+    turned back, so that equal shingles of a line of each kind have one hash.
+    """
+    wide = F.octet_length("line") != F.char_length("line")
+    cut = lines.select("lid", wide.alias("wide"), F.when(wide, F.encode("line", "UTF-32")).otherwise(F.col("line").cast("binary")).alias("b"))
+    n = F.octet_length("b") / F.when(F.col("wide"), 4).otherwise(1)
+    each = cut.select("lid", "wide", "b", F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int") - SHINGLE, F.lit(0)))).alias("k"))
+    four = F.decode(F.substring("b", F.col("k") * 4 + 1, F.lit(4 * SHINGLE)), "UTF-32")
+    return each.select("lid", F.when(F.col("wide"), F.xxhash64(four)).otherwise(F.xxhash64(F.substring("b", F.col("k") + 1, F.lit(SHINGLE)))).alias("h"))
+
+
 def alike(one: Column, two: Column, similarity: float) -> Column:
     """Whether two sets of shingles have the Jaccard similarity."""
     return let(F.size(F.array_intersect(one, two)), lambda both: both >= F.lit(similarity) * (F.size(one) + F.size(two) - both))
@@ -103,14 +110,10 @@ def line_components(docs: DataFrame, similarity: float = 0.8, rows: int = 4, rec
     places = stage(lines.select("doc", "tk", "pos", "lid"), "line-places")
     bands = bands_for(similarity, rows, recall)
     constants = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(bands * rows)]
-    at_anchors = lambda pattern: F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(1))
-    anchored = F.when(F.octet_length("line") < 2 * F.char_length("line"), at_anchors(ANCHORED)).otherwise(at_anchors(ANCHORED_WIDE))
-    second = F.when(F.char_length("line") <= SHORT_LINE, F.transform(runs(F.col("line")), lambda s: F.concat(F.lit("\n"), s))).otherwise(F.array().cast("array<string>"))
-    each = lines.select("lid", F.explode(F.concat(anchored, second)).alias("s")).select("lid", F.startswith("s", F.lit("\n")).alias("second"), F.xxhash64("s").alias("h"))
     signed = lambda c: c - (1 << 64) if c >= 1 << 63 else c
     # 24 bits of a minimum are enough to propose candidates, and are shuffled in half the bytes
-    signs = each.groupBy("lid", "second").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(signed(c))), 40)).alias(f"m{k}") for k, c in enumerate(constants)])
-    keys = [F.xxhash64("second", F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
+    signs = exploded(lines).groupBy("lid").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(signed(c))), 40)).alias(f"m{k}") for k, c in enumerate(constants)])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
     signs = stage(signs.select(F.col("lid").alias("id"), F.array(*keys).alias("bands")), "line-signatures")
     posts = signs.select("id", F.explode("bands").alias("bucket"))
     buckets = posts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")

@@ -189,6 +189,29 @@ def test_lines_large_group(spark):
     assert sum(got[i] != w for (i, _), w in zip(rows, want, strict=True)) <= 1  # bands miss a pair in two hundred at 0.8
 
 
+def test_lines_one_insertion(spark):
+    """One character put in near the start of a long line without spaces, or in a line of two scripts."""
+    rng = random.Random(8)
+    cell = lambda: str(rng.randrange(10 ** rng.randrange(2, 9)))
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    han = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(rng.randrange(1, 4)))
+    kinds = {
+        "csv": lambda: ",".join(cell() for _ in range(40)),
+        "tab": lambda: "\t".join(cell() for _ in range(40)),
+        "url": lambda: "https://" + "/".join(word() for _ in range(25)) + "?q=" + "&".join(f"{word()}={cell()}" for _ in range(6)),
+        "mixed": lambda: "".join(f"{word()}{word()}{cell()}{han()}" for _ in range(12)),
+    }
+    rows = []
+    for make in kinds.values():
+        for _ in range(25):
+            line, at, put = make(), rng.randrange(1, 12), rng.choice(["7", "x", "\u00e9"])
+            rows += [(len(rows), line), (len(rows) + 1, line[:at] + put + line[at:])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = lines_brute(rows)
+    assert want.count("") == 100
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_bands():
     assert line_dedup.bands_for(0.8, 4, 0.994) == 10
     assert licenses.bands_for(0.5, 0.999) == 10
