@@ -212,6 +212,33 @@ def test_lines_one_insertion(spark):
     assert [got[i] for i, _ in rows] == want
 
 
+def near_pair(rng, low, high, other):
+    """A line of low to high characters and an edit of it with other(length), of similarity 0.80 to 0.85."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10)))
+    while True:
+        line = " ".join(word() for _ in range(high // 3))[: rng.randrange(low, high + 1)].strip()
+        edit = line
+        for _ in range(rng.randrange(1, 1 + max(2, len(line) // 40))):
+            at = rng.randrange(len(edit))
+            edit = edit[:at] + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(0, 5))) + edit[at + rng.randrange(0, 5) :]
+        edit = edit.strip()
+        a, b = line_set(line), line_set(edit)
+        if low <= len(line) and other(len(edit)) and 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            return line, edit
+
+
+def test_lines_recall_by_length(spark):
+    """Pairs just over the threshold are found as bands_for says, in every band of length and across 64 characters."""
+    rng = random.Random(17)
+    kinds = {"to 64": (40, 64, lambda n: n <= 64), "across 64": (56, 64, lambda n: n > 64), "65 to 96": (65, 96, lambda n: n > 64), "97 to 400": (97, 400, lambda n: n > 96)}
+    rows = [(kind, *near_pair(rng, *how)) for kind, how in kinds.items() for _ in range(400)]
+    docs = [(2 * k + side, row[1 + side]) for k, row in enumerate(rows) for side in (0, 1)]
+    places, classes = line_dedup.line_components(spark.createDataFrame(docs, "doc_id long, text string"))
+    of = {r["doc"]: r["component"] for r in places.join(classes, places["lid"] == classes["id"]).collect()}
+    found = {kind: sum(2 * k in of and of[2 * k] == of.get(2 * k + 1) for k, row in enumerate(rows) if row[0] == kind) / 400 for kind in kinds}
+    assert min(found.values()) >= 0.985, found
+
+
 def test_bands():
     assert line_dedup.bands_for(0.8, 4, 0.994) == 10
     assert licenses.bands_for(0.5, 0.999) == 10
