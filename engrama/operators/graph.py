@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engrama.llm.common import components
 from engrama.session import stage
 
 from .knn import similar_above
@@ -32,17 +33,18 @@ def anchors(edges: DataFrame, events: DataFrame) -> DataFrame:
     return refs.groupBy(F.col("dst").alias("concept")).agg(F.countDistinct("src").alias("episodes"), F.min("src").alias("first_id"), F.max("src").alias("last_id"))
 
 
-def ancestors(edges: DataFrame, relation: str = "CAUSAL", most: int = 100) -> DataFrame:
-    """(id, ancestor, distance): all along edges of one kind, the shortest distance; one join for each step."""
+def ancestors(edges: DataFrame, relation: str = "CAUSAL") -> DataFrame:
+    """(id, ancestor, distance): all along edges of one kind, the shortest distance; a join doubles the distance covered.
+
+    A shortest path of over m and up to 2m steps is one of m steps and one of up to m, so only pairs m steps apart are joined.
+    """
     steps = edges.where(F.col("relation") == relation).select(F.col("dst").alias("id"), F.col("src").alias("ancestor")).distinct()
-    found = stage(steps.withColumn("distance", F.lit(1)), "ancestors")
-    level = found
-    for distance in range(2, most + 1):
-        reached = level.select("id", F.col("ancestor").alias("via")).join(steps.select(F.col("id").alias("via"), "ancestor"), "via").select("id", "ancestor").distinct()
-        level = stage(reached.join(found, ["id", "ancestor"], "left_anti").withColumn("distance", F.lit(distance)), "ancestors")
-        if level.isEmpty():
-            break
-        found = found.union(level)
+    found, most = stage(steps.withColumn("distance", F.lit(1)), "ancestors"), 1
+    while not (far := found.where(F.col("distance") == most)).isEmpty():
+        on = found.select(F.col("id").alias("via"), F.col("ancestor"), F.col("distance").alias("more"))
+        reached = far.select("id", F.col("ancestor").alias("via")).join(on, "via").groupBy("id", "ancestor").agg((F.min("more") + most).alias("distance"))
+        found = found.union(stage(reached.join(found, ["id", "ancestor"], "left_anti"), "ancestors"))
+        most *= 2
     return found
 
 
@@ -56,21 +58,15 @@ def spread(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.5) ->
     return total.groupBy("id").agg(F.sum("activation").alias("activation"))
 
 
-def shared_anchor_clusters(edges: DataFrame, most: int = 60) -> DataFrame:
+def shared_anchor_clusters(edges: DataFrame) -> DataFrame:
     """(id, cluster): events that share a concept, directly or over others; the cluster is its smallest event.
 
-    Labels go from events to concepts and back by minimum, so that a concept of n events costs n rows, not n * n.
+    Each event is joined with the first of its concept, so that a concept of n events costs n rows, not n * n.
     """
     refs = stage(edges.where("relation = 'REF'").select("src", "dst").distinct(), "anchor-refs")
-    labels, mark = refs.select(F.col("src").alias("id"), F.col("src").alias("cluster")).distinct(), None
-    for _ in range(most):
-        concept = refs.join(labels, F.col("src") == F.col("id")).groupBy("dst").agg(F.min("cluster").alias("cluster"))
-        labels = stage(refs.join(concept, "dst").groupBy(F.col("src").alias("id")).agg(F.min("cluster").alias("cluster")), "anchor-labels")
-        seen = labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]
-        if seen == mark:
-            break
-        mark = seen
-    return labels
+    first = refs.groupBy("dst").agg(F.min("src").alias("b"))
+    found = components(refs.join(first, "dst").select(F.col("src").alias("a"), "b"), "anchor-clusters")
+    return refs.select(F.col("src").alias("id")).distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
 
 def prune_eligible(events: DataFrame, edges: DataFrame, committed: DataFrame, before: int) -> DataFrame:

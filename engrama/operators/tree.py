@@ -7,6 +7,7 @@ insertion; delta nodes are rows of another DataFrame with ids of their own, nega
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ from .knn import knn
 
 TOP_LIMIT = 50
 MAX_BEAM = 16
+#: Levels of a deep beam that are one union before they are written as one.
+MAX_STEPS = 50
 DEAD = 1
 PENALTY = 1e9
 METADATA_BYTES = 255
@@ -45,25 +48,25 @@ def children(nodes: DataFrame, parents: DataFrame, mode: str = "fixed") -> DataF
     return reachable.join(parents.select("parent_id").distinct(), "parent_id", "left_semi").select("parent_id", "id", V.preview("v").alias("preview"))
 
 
-def depths(nodes: DataFrame, most: int = 64) -> DataFrame:
-    """(id, depth) from the roots, one join a level; nodes in no rooted chain are not returned."""
-    level, found, edges = nodes.where("parent_id is null").select("id", F.lit(0).alias("depth")), [], nodes.select("id", "parent_id")
-    for _ in range(most):
-        level = stage(level, "tree-level")
-        if level.isEmpty():
-            break
-        found.append(level)
-        level = edges.join(level.select(F.col("id").alias("parent_id"), (F.col("depth") + 1).alias("depth")), "parent_id").select("id", "depth")
-    return reduce(DataFrame.union, found) if found else level
+def depths(nodes: DataFrame) -> DataFrame:
+    """(id, depth) from the roots; nodes in no rooted chain are not returned. A join doubles the steps taken upwards."""
+    step = F.when(F.col("parent_id").isNull(), 0).otherwise(1)
+    now, taken = stage(nodes.select("id", F.col("parent_id").alias("up"), step.alias("depth")), "tree-depths"), 1
+    most = now.count()
+    while taken <= most and not (below := now.where("up is not null")).isEmpty():  # who has gone up further is on a cycle
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        further = below.join(above, "up").select("id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        now, taken = stage(now.where("up is null").union(further), "tree-depths"), 2 * taken
+    return now.where("up is null").select("id", "depth")
 
 
-def beam_path(queries: DataFrame, nodes: DataFrame, width: int = 1, csls: bool = False, mode: str = "fixed", most_levels: int = 64) -> DataFrame:
+def beam_path(queries: DataFrame, nodes: DataFrame, width: int = 1, csls: bool = False, mode: str = "fixed") -> DataFrame:
     """(qid, level, id, score): from the root, the best node of each level that a beam of the width reaches.
 
     On each level the children of the beam's nodes are scored and the width best stay (score down, id up); width is held
     within 1 and 16. fixed: tombstones are never visited; compat: they are, and csls subtracts the hub penalty. One join
-    on parent_id for each level: keep nodes bucketed by parent_id to spare its shuffle. The beam is staged, as its size is
-    that of the queries, times the width.
+    on parent_id for each level, down to the last: keep nodes bucketed by parent_id to spare its shuffle. The beam is staged,
+    as its size is that of the queries, times the width.
     """
     width = max(1, min(width, MAX_BEAM))
     live = nodes.where(~is_dead()) if mode == "fixed" else linked(nodes).where("linked or parent_id is null")
@@ -72,12 +75,15 @@ def beam_path(queries: DataFrame, nodes: DataFrame, width: int = 1, csls: bool =
     order = W.partitionBy("qid").orderBy(F.desc("score"), F.asc("id"))
     root = live.where(F.col("id") == 0).select("id", "v", "hub_penalty")
     beam = q.join(F.broadcast(root.limit(1))).select("qid", "qv", F.lit(0).alias("level"), "id", score.alias("score"), F.lit(1).alias("place"))
-    steps, below = [], live.where("parent_id is not null").select("parent_id", "id", "v", "hub_penalty")
-    for level in range(1, most_levels + 1):
+    # an id has one parent, so that nothing below the root comes twice
+    steps, below = [], live.where("parent_id is not null and id <> 0").select("parent_id", "id", "v", "hub_penalty")
+    for level in count(1):
         beam = stage(beam, "beam")
         if beam.isEmpty():
             break
         steps.append(beam.where("place = 1").select("qid", "level", "id", "score"))
+        if len(steps) == MAX_STEPS:
+            steps = [stage(reduce(DataFrame.union, steps), "beam-steps")]
         beam = below.join(beam.select("qid", "qv", F.col("id").alias("parent_id")), "parent_id").select("qid", "qv", F.lit(level).alias("level"), "id", score.alias("score"))
         beam = beam.withColumn("place", F.row_number().over(order)).where(F.col("place") <= width)
     return reduce(DataFrame.union, steps) if steps else beam.select("qid", "level", "id", "score")

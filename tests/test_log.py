@@ -148,6 +148,29 @@ def test_graph(spark):
     assert clusters == {1: 1, 2: 1, 3: 1, 5: 5}
 
 
+def test_graph_long_chains(spark):
+    n = 400
+    causal = [(i, i + 1, "CAUSAL") for i in range(n)]
+    refs = [(i, n + j, "REF") for i in range(n) for j in (i, i + 1)]
+    e = spark.createDataFrame(causal + refs, "src long, dst long, relation string")
+    got = graph.ancestors(e).agg(F.count("*"), F.countDistinct("id", "ancestor"), F.max("distance"), F.count_if(F.col("distance") != F.col("id") - F.col("ancestor"))).first()
+    assert tuple(got) == (n * (n + 1) // 2, n * (n + 1) // 2, n, 0)
+    clusters = {r["id"]: r["cluster"] for r in graph.shared_anchor_clusters(e).collect()}
+    assert clusters == dict.fromkeys(range(n), 0)
+
+
+def test_ancestors_by_the_shortest_way(spark):
+    rng = random.Random(6)
+    pairs = {(rng.randrange(40), rng.randrange(40)) for _ in range(50)}
+    want, level = {}, {(dst, src) for src, dst in pairs}
+    while level:
+        d = 1 + max(want.values(), default=0)
+        want |= dict.fromkeys(level, d)
+        level = {(i, src) for i, via in level for src, dst in pairs if dst == via} - want.keys()
+    e = spark.createDataFrame([(*p, "CAUSAL") for p in pairs], "src long, dst long, relation string")
+    assert {(r["id"], r["ancestor"]): r["distance"] for r in graph.ancestors(e).collect()} == want
+
+
 def test_store_generations(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     schema = "id long, flags int, text string"

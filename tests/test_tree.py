@@ -81,6 +81,15 @@ def test_beam_equals_the_simulation(spark, width):
     assert [(r["qid"], r["id"]) for r in got] == want
 
 
+def test_deep_tree(spark):
+    """A chain, a cycle, a node under it and one under no node; the beam goes below level 64."""
+    rows = [(i, i - 1 if i else None, [1, i], 0, "") for i in range(400)]
+    lost = [(500, 501, [1, 0], 0, ""), (501, 500, [1, 0], 0, ""), (502, 501, [1, 0], 0, ""), (600, 999, [1, 0], 0, "")]
+    assert {r["id"]: r["depth"] for r in tree.depths(store(spark, rows + lost)).collect()} == {i: i for i in range(400)}
+    got = tree.beam_path(queries(spark, [[1, 0]]), store(spark, rows[:70])).orderBy("level").collect()
+    assert [(r["level"], r["id"]) for r in got] == [(i, i) for i in range(70)]
+
+
 def test_empty_store(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert tree.navigate(queries(spark, [[1, 0]]), empty).count() == 0
