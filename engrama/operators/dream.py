@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engrama.functions import vectors as V
@@ -11,6 +12,8 @@ from . import tree
 
 DEAD_SHARE = 0.25
 SUMMARY_CHARS = 250
+#: So many texts of a character, joined by three, are over SUMMARY_CHARS.
+SUMMARY_TEXTS = SUMMARY_CHARS // 4 + 2
 BATCH = 500
 LEAST_NODES = 10
 
@@ -30,9 +33,11 @@ def clipped(text: Column) -> Column:
 def stub_summaries(texts: DataFrame, by: str, order: str) -> DataFrame:
     """(by, summary): texts that aren't empty, in order, joined by " | " and cut at 250 characters.
 
-    Only the first 251 characters of each can show, so no more of them is gathered.
+    Only the first 251 characters of each can show, and of one character with its separator no more than 64 texts, so no
+    more is gathered; the limit by group is applied before the shuffle too.
     """
     head = texts.where("text <> ''").select(by, order, F.substring("text", 1, SUMMARY_CHARS + 1).alias("t"))
+    head = head.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy(order, "t"))).where(F.col("_k") <= SUMMARY_TEXTS)
     joined = head.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "t"))), lambda s: s["t"]), " | ").alias("s"))
     return joined.select(by, clipped(F.col("s")).alias("summary"))
 

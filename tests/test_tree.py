@@ -135,6 +135,15 @@ def test_pressure_and_summary(spark):
     assert got == {0: "x" * 250 + "...", 1: "a | b"}
 
 
+@pytest.mark.parametrize("n", [63, 64, 65, 2000])
+def test_summary_gathers_no_more_than_shows(spark, n):
+    df = spark.createDataFrame([(0, i, "abc"[i % 3]) for i in range(n)], "g int, id long, text string").repartition(3)
+    got = dream.stub_summaries(df, "g", "id")
+    s = " | ".join("abc"[i % 3] for i in range(n))
+    assert got.first()["summary"] == (s[:250] + "..." if len(s) > 250 else s)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+
+
 def test_dream_skips_small_stores(spark):
     n = store(spark, [(i, 0 if i else None, [1], 0, "m") for i in range(9)])
     after, report = dream.dream(n)
