@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engrama.llm.common import components
 from engrama.session import stage
 
+from .components import components
 from .knn import similar_above
 
 
