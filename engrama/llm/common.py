@@ -28,16 +28,18 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     """Left-join groups (one row per key, with its row count in size) to rows.
 
     Groups of total / HOT_SHARE rows or more, of which there can be only HOT_SHARE, are broadcast. Their rows get a
-    substitute key made from the column spread, so that the sort-merge join for the rest stays even. The key is a binary
-    column: digests, or numbers written in digits.
+    substitute key made from the column spread, and a mark by which no group is found, so that the sort-merge join for the
+    rest stays even. The key is a long or binary column without nulls.
     """
     values = [c for c in groups.columns if c != key]
     hot_from = max(2, -(-total // HOT_SHARE))
     hot = groups.where(F.col(size) >= hot_from).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values])
     cold = groups.where(F.col(size) < hot_from).select(F.col(key).alias("_ck"), *[F.col(c).alias(f"_c_{c}") for c in values])
-    away = F.concat(F.lit("hot-row-"), F.sha2(F.col(spread).cast("string"), 256)).cast("binary")  # longer than any key
-    found = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left")
-    found = found.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key)).otherwise(away))
-    found = found.join(cold.hint("merge"), F.col("_jk") == F.col("_ck"), "left")
+    away = F.xxhash64(spread)
+    if rows.schema[key].dataType.typeName() != "long":
+        away = away.cast("string").cast("binary")
+    found = rows.join(F.broadcast(hot), rows[key] == F.col("_hk"), "left").withColumn("_jh", F.col("_hk").isNotNull())
+    found = found.withColumn("_jk", F.when(F.col("_jh"), away).otherwise(F.col(key)))
+    found = found.join(cold.withColumn("_ch", F.lit(False)).hint("merge"), (F.col("_jk") == F.col("_ck")) & (F.col("_jh") == F.col("_ch")), "left")
     merged = [F.coalesce(F.col(f"_h_{c}"), F.col(f"_c_{c}")).alias(c) for c in values]
     return found.select(*rows.columns, *merged)

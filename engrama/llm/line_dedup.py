@@ -1,13 +1,18 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines are compared lower-cased and without white space at their ends. Equal lines meet under a 64-bit hash. The shingles of
-a line are all its runs of 8 characters; a shorter line is one shingle. Its signature is taken over all its shingles, at
-every length and in every script: they are cut by position, exploded, and, per line, the minimum of hash ^ constant for 40
-constants is one partial aggregation in generated code; each constant orders the hashes anew, so two lines agree in a
-coordinate with the probability of their Jaccard similarity. Ten bands of four coordinates find a pair of similarity 0.8
-with probability 0.995 and one of 0.85 with 0.999 (bands_for). Candidates are compared by leaders and open classes (link_classes) and
-confirmed by the exact Jaccard similarity of all their shingles; distributed union-find gives components, and of all lines
-of a component the first, by id of the document and place in it, stays.
+a line are all its runs of 8 characters; a shorter line is one shingle. All shingles of every line are signed, at every
+length and in every script: the line is encoded with four bytes a character, cut by position and exploded, and a shingle's
+hash puts it into one of 12 classes. In each class the minima of hash ^ constant for four constants are one partial
+aggregation in generated code; together they are one band. So a shingle costs four minima instead of 48, and as a class of
+shingles has the similarity of the whole on average, the twelve bands find a pair of similarity 0.8 with probability 0.998
+at least (bands_for: of all ways a mean of fourth powers can come about, an even one gives the fewest matches), and one of
+0.85 with 0.9999. One bit of each minimum makes a sketch of 48 bits; candidates that differ in more than SKETCH_BITS of them
+are given up unread: at 0.8 a pair differs in 4.8 on average with a deviation of about 2.6. What is left is confirmed by the
+exact Jaccard similarity of all shingles. Candidates are compared by leaders and open classes (link_classes); distributed
+union-find gives components, and of all lines of a component the first, by id of the document and place in it, stays.
+
+The distinct lines are a table bucketed by their hash, so that signing them and fetching the candidates moves no text again.
 
 Cases: blank lines are no lines and always stay; a null text has no lines and stays null; rows with one id and different
 texts are told apart by a hash of the text, fully equal rows with one id are treated alike: a line first found in them stays
@@ -17,18 +22,22 @@ are untouched.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import attach_groups, stage
+from .common import attach_groups, shared_dir, stage
 from .links import link_classes
 
 SHINGLE = 8
+WIDTH = 4  # bytes of a character in UTF-32
 BLOCK_LINES = 256
 LAST = (1 << 63) - 1
+MOST_APART = 20  # of 48 minima
+#: The minima of a class: hash ^ constant. Their first two bits differ, so each looks into a quarter of its own first.
+ORDERS = (0x0F1BBCDCBFA53E0B, 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15 - (1 << 64), 0xD6E8FEB86659FD93 - (1 << 64))
 
 
 def bands_for(similarity: float, rows: int, recall: float) -> int:
@@ -48,32 +57,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def runs(line: Column) -> Column:
-    """All runs of 8 characters, as strings."""
-    return F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+def wide(line: Column) -> Column:
+    return F.encode(line, "UTF-32")
 
 
-def shingles(line: Column) -> Column:
-    """The hashes of all distinct shingles. Where every character is a byte, they are cut by position, else by a pattern."""
-    bytes_ = line.cast("binary")
-    by_position = F.transform(F.sequence(F.lit(1), F.octet_length(line) - (SHINGLE - 1)), lambda k: F.xxhash64(F.substring(bytes_, k, F.lit(SHINGLE))))
-    by_pattern = F.transform(runs(line), lambda s: F.xxhash64(s))
-    short = F.array(F.xxhash64(line))
-    return F.array_distinct(F.when(F.char_length(line) < SHINGLE, short).when(F.octet_length(line) == F.char_length(line), by_position).otherwise(by_pattern))
+def starts(coded: Column) -> Column:
+    """Where the shingles of a line in UTF-32 begin, in bytes from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(coded) - (SHINGLE * WIDTH - 1), F.lit(1)), F.lit(WIDTH))
 
 
-def exploded(lines: DataFrame) -> DataFrame:
-    """(lid, h): a row for each shingle of each line, with repeats; h is the same hash as in shingles().
+def shingle_hash(coded: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(coded, start, F.lit(SHINGLE * WIDTH)))
 
-    Characters of one byte are cut from the bytes; other lines are cut where every character has four, and each shingle is
-    turned back, so that equal shingles of a line of each kind have one hash.
-    """
-    wide = F.octet_length("line") != F.char_length("line")
-    cut = lines.select("lid", wide.alias("wide"), F.when(wide, F.encode("line", "UTF-32")).otherwise(F.col("line").cast("binary")).alias("b"))
-    n = F.octet_length("b") / F.when(F.col("wide"), 4).otherwise(1)
-    each = cut.select("lid", "wide", "b", F.explode(F.sequence(F.lit(0), F.greatest(n.cast("int") - SHINGLE, F.lit(0)))).alias("k"))
-    four = F.decode(F.substring("b", F.col("k") * 4 + 1, F.lit(4 * SHINGLE)), "UTF-32")
-    return each.select("lid", F.when(F.col("wide"), F.xxhash64(four)).otherwise(F.xxhash64(F.substring("b", F.col("k") + 1, F.lit(SHINGLE)))).alias("h"))
+
+def shingles(line: Column) -> Column:
+    """The hashes of all distinct shingles."""
+    return let(wide(line), lambda coded: F.array_distinct(F.transform(starts(coded), lambda k: shingle_hash(coded, k))))
 
 
 def alike(one: Column, two: Column, similarity: float) -> Column:
@@ -81,6 +80,17 @@ def alike(one: Column, two: Column, similarity: float) -> Column:
     return let(F.size(F.array_intersect(one, two)), lambda both: both >= F.lit(similarity) * (F.size(one) + F.size(two) - both))
 
 
+def close(one: Column, two: Column, longs: int) -> Column:
+    """Whether two sketches agree in enough minima for the pair to be compared."""
+    apart = F.lit(0)
+    for k in range(longs):
+        d = one[k].bitwiseXOR(two[k])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))  # the lowest of each four bits says whether any differs
+        apart = apart + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    return apart <= MOST_APART
+
+
 def _split(text_col: str) -> Column:
     return F.split(text_col, "\n", -1)
 
@@ -93,36 +103,49 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("lid", F.xxhash64("line"))
 
 
-def _texts(docs: DataFrame, places: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(lid, line) of the ids, each from the first document that has it."""
-    found = places.groupBy("lid").agg(F.min(F.struct("doc", "tk", "pos")).alias("at"))  # first, so that a common line is one row
-    found = found.join(ids.select(F.col("id").alias("lid")).distinct().hint("shuffle_merge"), "lid", "left_semi")  # the same plan at every size
-    found = found.groupBy("at.doc", "at.tk").agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "lid")).alias("wanted"))
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text"))
-    out = source.join(found.hint("shuffle_merge"), ["doc", "tk"]).select(_split("text").alias("lines"), "wanted")
-    out = out.select(F.explode(let(F.col("lines"), lambda own: F.transform("wanted", lambda w: F.struct(w["lid"].alias("lid"), F.element_at(own, w["pos"] + 1).alias("line"))))).alias("x"))
-    return out.select("x.lid", normal(F.col("x.line")).alias("line")).dropDuplicates(["lid"])
-
-
-def line_components(docs: DataFrame, similarity: float = 0.8, rows: int = 4, recall: float = 0.994, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+def _distinct(spark: SparkSession, lines: DataFrame) -> str:
+    """The name of a table (lid, line) of the distinct lines, bucketed by lid; its files lie in the shared folder."""
+    name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.select("lid", "line").dropDuplicates(["lid"])  # dealt by lid into as many partitions: a bucket is one file
+    rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", shared_dir(spark, "lines")).saveAsTable(name)
+    return name
+
+
+def _signatures(lines: DataFrame, bands: int) -> DataFrame:
+    """(id, bands, sketch) of lines (lid, line): a key for each class that has shingles, and a bit of each minimum."""
+    coded = lines.select("lid", wide(F.col("line")).alias("coded"))
+    each = coded.select("lid", "coded", F.explode(starts(F.col("coded"))).alias("k")).select("lid", shingle_hash(F.col("coded"), F.col("k")).alias("h"))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{r}") for r, c in enumerate(ORDERS)]
+    by_class = each.groupBy("lid", F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * bands, 32).cast("int").alias("class")).agg(*minima)
+    bits = F.lit(0).cast("long")
+    for r in range(len(ORDERS)):
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftright(f"m{r}", 17).bitwiseAND(F.lit(15)), 4 * r))
+    keyed = by_class.select("lid", "class", F.xxhash64("class", *[f"m{r}" for r in range(len(ORDERS))]).alias("key"), bits.alias("bits"))
+    keys = [F.max(F.when(F.col("class") == c, F.col("key"))).alias(f"k{c}") for c in range(bands)]
+    place = F.expr("shiftleft(bits, cast(class % 4 * 16 as int))")  # four classes in a long
+    sketch = [F.bit_or(F.when(F.floor(F.col("class") / 4) == k, place).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(-(-bands // 4))]
+    out = keyed.groupBy("lid").agg(*keys, *sketch)
+    return out.select(F.col("lid").alias("id"), F.array_compact(F.array(*[f"k{c}" for c in range(bands)])).alias("bands"), F.array(*[f"s{k}" for k in range(len(sketch))]).alias("sketch"))
+
+
+def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.998, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Places of lines (doc, tk, pos, lid), staged, and classes (id, component) of the hashes of lines that have links."""
-    lines = _lines(docs, id_col, text_col)
+    spark, lines = docs.sparkSession, _lines(docs, id_col, text_col)
     places = stage(lines.select("doc", "tk", "pos", "lid"), "line-places")
-    bands = bands_for(similarity, rows, recall)
-    constants = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) for k in range(bands * rows)]
-    signed = lambda c: c - (1 << 64) if c >= 1 << 63 else c
-    # 24 bits of a minimum are enough to propose candidates, and are shuffled in half the bytes
-    signs = exploded(lines).groupBy("lid").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(signed(c))), 40)).alias(f"m{k}") for k, c in enumerate(constants)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    signs = stage(signs.select(F.col("lid").alias("id"), F.array(*keys).alias("bands")), "line-signatures")
-    posts = signs.select("id", F.explode("bands").alias("bucket"))
-    buckets = posts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(posts.join(buckets.hint("shuffle_merge"), "bucket").select("bucket", "id"), "line-postings")
-    texts = stage(_texts(docs, places, members, id_col, text_col), "line-texts")
+    table = _distinct(spark, lines)
+    bands = bands_for(similarity, len(ORDERS), recall)
+    near = lambda x, y: close(x, y, -(-bands // 4))
+    signs = stage(_signatures(spark.table(table), bands), "line-signatures")
+    posts = signs.select("id", "sketch", F.explode("bands").alias("bucket"))
+    buckets = posts.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    members = stage(posts.join(buckets.hint("shuffle_merge"), "bucket").select("bucket", "id", "sketch"), "line-postings")
+    found = members.select(F.col("id").alias("lid"), "sketch").distinct().hint("shuffle_merge")  # the same plan at every size
+    texts = stage(spark.table(table).join(found, "lid"), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a")).hint("shuffle_merge"), "a")
-        pairs = pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b")).hint("shuffle_merge"), "b")
+        pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge"), "a")
+        pairs = pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("sketch").alias("sketch_b")).hint("shuffle_merge"), "b")
+        pairs = pairs.where(near(F.col("sketch_a"), F.col("sketch_b")))
         one, two = shingles(F.col("line_a")), shingles(F.col("line_b"))
         both = F.size(F.array_intersect(one, two))
         # a projection works each of these out once, in generated code; a filter would not, so it follows on the written rows
@@ -132,21 +155,24 @@ def line_components(docs: DataFrame, similarity: float = 0.8, rows: int = 4, rec
     def confirm_lists(open_: DataFrame) -> DataFrame:
         """A list is dealt into blocks of about BLOCK_LINES lines and each pair of blocks is one row, in which lines of
         different classes are compared if this is the first list that they share; only links leave it."""
-        own = signs.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.flatten(F.collect_list("bands")).alias("bands"))
+        own = members.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("bucket").alias("bands"))
         each = open_.join(own, "id").join(texts.withColumnRenamed("lid", "id"), "id")
         each = each.withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         i, j = F.least("block", "other"), F.greatest("block", "other")
-        line = F.struct("id", "c", "bands", "line")
+        line = F.struct("id", "c", "bands", "sketch", "line")
         sides = each.groupBy("bucket", i.alias("i"), j.alias("j")).agg(F.collect_list(F.when(F.col("block") == i, line)).alias("left"), F.collect_list(F.when(F.col("block") == j, line)).alias("right"))
-        cut = lambda side: F.transform(side, lambda x: F.struct(x["id"].alias("id"), x["c"].alias("c"), x["bands"].alias("bands"), shingles(x["line"]).alias("s")))
-        links = lambda x, y: (x["c"] != y["c"]) & (x["id"] < y["id"]) & (F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket")) & alike(x["s"], y["s"], similarity)
+        cut = lambda side: F.transform(side, lambda x: F.struct(x["id"].alias("id"), x["c"].alias("c"), x["bands"].alias("bands"), x["sketch"].alias("sketch"), shingles(x["line"]).alias("s")))
+        first = lambda x, y: F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket")
+        links = lambda x, y: (x["c"] != y["c"]) & (x["id"] < y["id"]) & near(x["sketch"], y["sketch"]) & first(x, y) & alike(x["s"], y["s"], similarity)
         # within one block both sides are the same lines; between blocks either may have the smaller id
         pairs = lambda l, r: F.flatten(F.transform(l, lambda x: F.transform(F.filter(r, lambda y: links(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))  # noqa: E731, E741
-        found = let(cut(F.col("left")), lambda l: let(cut(F.col("right")), lambda r: F.when(F.col("i") == F.col("j"), pairs(l, r)).otherwise(F.concat(pairs(l, r), pairs(r, l)))))  # noqa: E741
+        found = let(cut(F.col("left")), lambda l: F.when(F.col("i") == F.col("j"), pairs(l, l)).otherwise(let(cut(F.col("right")), lambda r: F.concat(pairs(l, r), pairs(r, l)))))  # noqa: E741
         return sides.select(F.explode(found).alias("p")).select("p.a", "p.b")
 
-    return places, link_classes(members, confirm, confirm_lists, "lines", leaders=1)
+    classes = link_classes(members.select("bucket", "id"), confirm, confirm_lists, "lines", leaders=1)
+    spark.sql(f"DROP TABLE {table}")  # all that follows reads staged rows
+    return places, classes
 
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
@@ -157,14 +183,10 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
         places = places.withColumn("c", F.col("lid"))
     else:
         places = places.join(classes, F.col("lid") == F.col("id"), "left").select("doc", "tk", "pos", F.coalesce("component", "lid").alias("c"))
-    places = places.withColumn("key", F.col("c").cast("string").cast("binary"))
-    firsts = stage(places.groupBy("key").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
+    at = F.struct("doc", "tk", "pos")
+    firsts = stage(places.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
     # a line on which a large share of all documents agree is looked up by broadcast, the others by a join
-    places = attach_groups(places, firsts, "key", "n", total, "doc").where("n > 1").drop("key", "n")
-    # of the lines in the first document of a component the first stays, the others go with those of all other documents
-    stays = places.where("doc = first_doc").withColumn("k", F.dense_rank().over(W.partitionBy("c").orderBy("tk", "pos"))).where("k = 1").select("c", F.col("doc").alias("_d"), F.col("tk").alias("_t"), F.col("pos").alias("_p"))
-    first = places.where("doc = first_doc").join(stays.distinct(), (places["doc"] == F.col("_d")) & (places["tk"] == F.col("_t")) & (places["pos"] == F.col("_p")), "left_anti")
-    gone = places.where("doc <> first_doc").select("doc", "tk", "pos").union(first.select("doc", "tk", "pos"))
+    gone = attach_groups(places, firsts, "c", "n", total, "doc").where("n > 1").where(at != F.col("first"))
     return stage(gone.groupBy("doc", "tk").agg(F.collect_set("pos").alias("gone")), "line-drops")
 
 
