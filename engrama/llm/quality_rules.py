@@ -133,7 +133,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     """Rows of docs with their label as _label, of about `most` labels by a hash of the id; the labels are broadcast."""
     given = labels.select(F.col(id_col).alias("_lid"), F.col(label).cast("long").alias("_label")).where("_lid is not null and _label is not null")
     share = min(1.0, most / max(given.count(), 1))
-    given = given.where(F.pmod(F.xxhash64("_lid", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    given = given.where(F.shiftrightunsigned(F.xxhash64("_lid", F.lit("sample")), 2) <= int(share * (1 << 62)))
     return docs.join(F.broadcast(given), F.col(id_col) == F.col("_lid")).drop("_lid")
 
 
