@@ -1,13 +1,15 @@
 """Quality classifier by co-training of two views.
 
 The text view sees shares of byte-class pairs and repetition; the metadata view sees source, language and length. Each is a
-logistic regression. In every round each view labels the unlabelled documents of which it is surest, in the proportions of
-the labels, and hands them to the other view as training rows. Afterwards each view is calibrated on labelled rows held
-back from training (Platt scaling), a third logistic regression combines the calibrated log-odds, and all documents are
-scored in one pass. It is fitted on a bounded sample: about max_labelled (6,000) labelled and max_unlabelled (4,000) other
-documents, by a hash of their id; only numbers come to the driver.
-
-Cases: a null text counts as empty; null metadata is a value of its own; a text without a word is rejected; without labels
+logistic regression, fitted on about max_labelled (6,000) labelled documents, drawn by a hash of their id. In every round
+both views score all documents without a label, in Spark; each view takes the per_round (200) of which it is surest, in the
+proportions of the labels, by a distributed top-k, and hands them to the other view as training rows. Only the numbers of
+those rows come to the driver. Afterwards each view is calibrated on labelled rows held back from training (Platt scaling), a
+third logistic regression combines the calibrated log-odds, and all documents are scored in one pass. No labelled document is
+ever pseudo-labelled, so that the rows held back stay unseen.
+
+Cases: a null text counts as empty; documents without an id are scored, but not handed over; of several rows under one id
+that is handed over, the smallest stands for it; null metadata is a value of its own; a text without a word is rejected; without labels
 of both kinds every document with a word has score 0.5 and stays; documents labelled twice count twice; repeated rows are
 each scored; extra columns are ignored, and survive in filter_quality.
 """
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
+from .common import stage
 from .doc_stats import TEXT_FEATURES, text_features
 from .quality_rules import labelled_sample
 
 SLOTS = 64
 META_FEATURES = SLOTS + 24
+COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def meta_features(source: list, lang: list, n_chars: list) -> np.ndarray:
@@ -91,45 +95,44 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (c, t, m))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, more_text: np.ndarray, more_meta: np.ndarray, rounds: int = 5, per_round: int = 200, sure: float = 0.95, seed: int = 3) -> CoTrained:
-    """y: 1 good, 0 bad, for text and meta; more_*: the unlabelled pool."""
-    held = np.random.default_rng(seed).random(len(y)) < 0.3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.arange(len(y)) % 2 == 0
+class CoTraining:
+    """Two views on labelled rows (y: 1 good, 0 bad), and what each has been handed by the other."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, seed: int = 3):
+        held = np.random.default_rng(seed).random(len(y)) < 0.3
         if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-            held = np.zeros(len(y), bool)
-    fit_on, check = ~held, held if held.any() else np.ones(len(y), bool)
-    views, extra = [text, meta], [[], []]  # extra[v]: (rows of the pool, labels) handed to view v
-    pool, free = [more_text, more_meta], np.ones(len(more_text), bool)
-    good_share = y[fit_on].mean()
-
-    def train(v: int) -> Logistic:
-        x, t = [views[v][fit_on]], [y[fit_on]]
-        for rows, labels in extra[v]:
-            x.append(pool[v][rows])
-            t.append(labels)
-        return Logistic.fit(np.vstack(x), np.concatenate(t))
-
-    models = [train(0), train(1)]
-    for _ in range(rounds):
-        for v in (0, 1):
-            open_ = np.flatnonzero(free)
-            if not len(open_):
-                break
-            p = 1 / (1 + np.exp(-np.clip(models[v].log_odds(pool[v][open_]), -30, 30)))
-            order = np.argsort(p)
-            bad = order[: max(1, int(per_round * (1 - good_share)))]
-            good = order[::-1][: max(1, int(per_round * good_share))]
-            bad, good = bad[p[bad] <= 1 - sure], good[p[good] >= sure]
-            rows = np.concatenate([open_[bad], open_[good]])
-            if len(rows):
-                extra[1 - v].append((rows, np.r_[np.zeros(len(bad)), np.ones(len(good))]))
-                free[rows] = False
-        models = [train(0), train(1)]
-    odds = [m.log_odds(x[check]) for m, x in zip(models, views, strict=True)]
-    scaled = [Logistic.fit(o[:, None], y[check], 0.1) for o in odds]
-    both = np.stack([s.log_odds(o[:, None]) for s, o in zip(scaled, odds, strict=True)], 1)
-    return CoTrained(*models, *scaled, Logistic.fit(both, y[check], 0.1))
+            held = np.arange(len(y)) % 2 == 0
+            if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+                held = np.zeros(len(y), bool)
+        self.views, self.y, self.fit_on = (text, meta), y, ~held
+        self.check = held if held.any() else np.ones(len(y), bool)
+        self.extra: tuple[list, list] = ([], [])
+        self.models = self._train()
+
+    def _train(self) -> list[Logistic]:
+        out = []
+        for own, handed in zip(self.views, self.extra, strict=True):
+            x, t = [own[self.fit_on], *[f for f, _ in handed]], [self.y[self.fit_on], *[labels for _, labels in handed]]
+            out.append(Logistic.fit(np.vstack(x), np.concatenate(t)))
+        return out
+
+    def quotas(self, per_round: int) -> tuple[int, int]:
+        """How many good and bad ones a view hands over in a round."""
+        good = self.y[self.fit_on].mean()
+        return max(1, int(per_round * good)), max(1, int(per_round * (1 - good)))
+
+    def next_round(self, handed: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Train again with rows (view that is sure, text, meta, labels), which the other view gets."""
+        for view, text, meta, labels in handed:
+            self.extra[1 - view].append(((text, meta)[1 - view], labels))
+        self.models = self._train()
+
+    def finish(self) -> CoTrained:
+        odds = [m.log_odds(x[self.check]) for m, x in zip(self.models, self.views, strict=True)]
+        y = self.y[self.check]
+        scaled = [Logistic.fit(o[:, None], y, 0.1) for o in odds]
+        both = np.stack([s.log_odds(o[:, None]) for s, o in zip(scaled, odds, strict=True)], 1)
+        return CoTrained(*self.models, *scaled, Logistic.fit(both, y, 0.1))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -140,26 +143,60 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
             yield part, text_features(data, offsets), meta_features(col("source"), col("lang"), col("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 6000, max_unlabelled: int = 4000) -> CoTrained | None:
-    """None without labels of both kinds."""
-    cols = ["text", "source", "lang", "n_chars"]
-    known = labelled_sample(docs.select("doc_id", *cols), labels, label, max_labelled).select("_label", *cols)
-    share = min(1.0, max_unlabelled / max(docs.count(), 1))
-    pool = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.lit(-1).cast("long").alias("_label"), *cols)
+def _numbers(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key (a long) and the features of both views of each row, on the driver: for bounded docs only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text, meta in _features(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["label", "text", "meta"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in text], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["key", "text", "meta"])
 
-    rows: pd.DataFrame = known.union(pool).mapInArrow(run, "label long, text binary, meta binary").toPandas()
-    if rows.empty:
-        return None
-    text, meta = (np.frombuffer(b"".join(rows[c]), np.float32).reshape(len(rows), -1) for c in ("text", "meta"))
-    y = rows["label"].to_numpy()
-    has = y >= 0
-    if len(set(y[has])) < 2:
+    rows: pd.DataFrame = docs.select(key, *COLUMNS).mapInArrow(run, "key long, text binary, meta binary").toPandas()
+    text, meta = (np.frombuffer(b"".join(rows[c]), np.float32).reshape(len(rows), n) for c, n in (("text", TEXT_FEATURES), ("meta", META_FEATURES)))
+    return rows["key"].to_numpy(), text, meta
+
+
+def surest(docs: DataFrame, labelled: DataFrame, models: list[Logistic], taken: set[int], quotas: tuple[int, int], sure: float) -> dict[int, tuple[int, int]]:
+    """{doc_id: (view, label)} of the documents of which a view is surest, neither labelled (doc_id) nor taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, text, meta in _features(batches):
+            odds = np.stack([m.log_odds(x) for m, x in zip(models, (text, meta), strict=True)])
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            keep = pa.array(((p >= sure) | (p <= 1 - sure)).any(0))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p[0]), pa.array(p[1])], ["doc_id", "p0", "p1"]).filter(keep)
+
+    all_ = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *COLUMNS)
+    scores = all_.mapInArrow(run, "doc_id long, p0 double, p1 double").groupBy("doc_id").agg(F.min("p0").alias("p0"), F.min("p1").alias("p1"))
+    scores = stage(scores.join(labelled, "doc_id", "left_anti"), "quality-sure")
+    out: dict[int, tuple[int, int]] = {}
+    for view in (0, 1):
+        p = F.col(f"p{view}")
+        for label, n, order in ((1, quotas[0], p.desc()), (0, quotas[1], p.asc())):
+            is_sure = p >= sure if label else p <= 1 - sure
+            gone = taken | set(out)  # as many as have been handed over, at most
+            for r in scores.where(is_sure).where(~F.col("doc_id").isin(gone) if gone else F.lit(True)).orderBy(order, "doc_id").limit(n).collect():
+                out[r["doc_id"]] = (view, label)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = 6000, rounds: int = 3, per_round: int = 200, sure: float = 0.95) -> CoTrained | None:
+    """None without labels of both kinds."""
+    y, text, meta = _numbers(labelled_sample(docs.select("doc_id", *COLUMNS), labels, label, max_labelled), "_label")
+    if len(set(y)) < 2:
         return None
-    return co_train(text[has], meta[has], (y[has] > 0).astype(float), text[~has], meta[~has])
+    training = CoTraining(text, meta, (y > 0).astype(float))
+    labelled = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    taken: set[int] = set()
+    for _ in range(rounds):
+        picks = surest(docs, labelled, training.models, taken, training.quotas(per_round), sure)
+        if not picks:
+            break
+        taken |= set(picks)
+        rows = docs.where(F.col("doc_id").isin(list(picks))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct(*COLUMNS)).alias("r"))
+        ids, text, meta = _numbers(rows.select("doc_id", "r.*"), "doc_id")
+        view, labels_ = (np.array([picks[i][k] for i in ids.tolist()]) for k in (0, 1))
+        training.next_round([(v, text[view == v], meta[view == v], labels_[view == v].astype(float)) for v in (0, 1) if (view == v).any()])
+    return training.finish()
 
 
 def score(docs: DataFrame, model: CoTrained | None, threshold: float = 0.5) -> DataFrame:
