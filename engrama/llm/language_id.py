@@ -6,9 +6,11 @@ symbols of d kinds, else by an escape of probability d / (N + d) and the next sh
 bytes. The exact code length of a whole text under each tree is the sum over its bytes, and the shortest wins; the score is
 the posterior probability of the winner with equal priors.
 
-Counting runs in Spark (windows of four bytes by language, summed by a shuffle); what comes to the driver is the trees of a
-sample of about docs_per_language (800) documents of each language, taken by a hash of their id, whole texts, for the max_languages (1000) most frequent languages at most. Tasks unfold
-the trees into tables over the byte values seen, so that a code length is a lookup.
+Counting runs in Spark (windows of four bytes by language, summed by a shuffle) over a sample of about docs_per_language (800)
+documents of each language, taken by a hash of their id, whole texts. All languages are learned. Tasks unfold trees into
+tables over the byte values seen, so that a code length is a lookup. Languages are dealt into groups whose tables stay within
+table_bytes (256 MB); a group's trees come to the driver and go out to one pass over the texts, which carries the shortest
+length so far from pass to pass, so memory does not grow with the number of languages; few languages are one group.
 
 Cases: text is lower-cased; null texts and texts without a letter are `und` with score 0; without anything to learn from
 all are `und`; null languages are not learned; ties go to the first language in code-point order; repeated rows are each
@@ -17,7 +19,7 @@ scored; extra columns are ignored. Texts begin as after spaces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_text import chunks
+from .common import stage
 
 DOCS_PER_LANGUAGE = 800
+TABLE_BYTES = 256 << 20
 ORDER = 3
 
 
@@ -121,13 +125,25 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_languages: int = 1000, id_col: str = "doc_id") -> Trees:
-    """Count the trees of the most frequent languages of docs (id_col, text, lang)."""
+def grouped(contexts: dict[str, int], table_bytes: int) -> list[list[str]]:
+    """Languages, in order, in groups whose tables have at most table_bytes; contexts of three bytes by language."""
+    groups: list[list[str]] = []
+    held = 0
+    for lang in sorted(contexts):
+        if not groups or (held + contexts[lang]) * (len(groups[-1]) + 1) * 257 * 4 > table_bytes:
+            groups.append([])
+            held = 0
+        groups[-1].append(lang)
+        held += contexts[lang]
+    return groups
+
+
+def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, table_bytes: int = TABLE_BYTES, id_col: str = "doc_id") -> Iterator[Trees]:
+    """Count the trees of all languages of docs (id_col, text, lang), and give them group by group."""
     docs = docs.where("lang is not null and text is not null")
-    many = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    many = many.select(F.col("lang").alias("_l"), (F.lit(docs_per_language << 20) / F.col("count")).alias("_share"))
-    sample = docs.select(id_col, "text", "lang").join(F.broadcast(many), F.col("lang") == F.col("_l"))
-    sample = sample.where(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(1 << 20)) < F.col("_share")).select("text", "lang")
+    many = docs.groupBy("lang").count().select(F.col("lang").alias("_l"), (F.lit(float(docs_per_language)) / F.col("count") * float(1 << 62)).alias("_share"))
+    sample = docs.select(id_col, "text", "lang").join(many, F.col("lang") == F.col("_l"))  # a row a language
+    sample = sample.where(F.shiftrightunsigned(F.xxhash64(id_col, F.lit("language")), 2) < F.col("_share")).select("text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,41 +153,67 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, max_languag
                     codes, times = np.unique(_windows(data, offsets), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(times.astype(np.int64))], ["lang", "code", "n"])
 
-    rows: pd.DataFrame = sample.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(rows["lang"].unique())
-    parts = [rows[rows["lang"] == lang].sort_values("code") for lang in langs]
-    return Trees(langs, [p["code"].to_numpy().astype(np.uint32) for p in parts], [p["n"].to_numpy().astype(float) for p in parts])
+    counts = stage(sample.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "language-windows")
+    contexts = counts.select("lang", F.shiftrightunsigned("code", 8).alias("context")).distinct().groupBy("lang").count()
+    for langs in grouped({r["lang"]: r["count"] for r in contexts.collect()}, table_bytes):
+        rows: pd.DataFrame = counts.where(F.col("lang").isin(langs)).toPandas()
+        parts = [rows[rows["lang"] == lang].sort_values("code") for lang in langs]
+        yield Trees(langs, [p["code"].to_numpy().astype(np.uint32) for p in parts], [p["n"].to_numpy().astype(float) for p in parts])
 
 
-def predict(docs: DataFrame, trees: Trees, id_col: str = "doc_id") -> DataFrame:
-    """id_col, lang_pred, score, bits_per_byte for each row of docs; only its id and text are read."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+def _compared(docs: DataFrame, trees: Trees, with_text: bool) -> DataFrame:
+    """docs (doc_id, text, and what the groups before have found, if any) after one more group of languages.
+
+    least is the shortest code length, lang_pred whose it is, total the sum of 2 ** (least - length) over all languages.
+    """
+    shared, again = docs.sparkSession.sparkContext.broadcast(trees), "least" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = shared.value
-        tables = trees.unfold() if trees.langs else None
-        names = np.array([*trees.langs, "und"], object)
+        tables = shared.value.unfold()
+        names = np.array(shared.value.langs, object)
         for b in batches:
             text = _lowered(b.column(1))
-            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False)
             for lo, hi, data, offsets in chunks(text, 1 << 19):
-                if tables is None:
-                    pick, score, rate = np.zeros(hi - lo, int), np.zeros(hi - lo), np.zeros(hi - lo)
+                bits = tables.bits(data, offsets)
+                lang = names[bits.argmin(1)]
+                least = bits.min(1)
+                if again:
+                    before = b.column(3).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                    old = b.column(2).slice(lo, hi - lo).to_pylist()
+                    old_total = b.column(4).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                    lang = np.where(least < before, lang, np.array(old, object))
+                    now = np.minimum(least, before)
+                    total = old_total * np.exp2(np.maximum(now - before, -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(1)
+                    least = now
                 else:
-                    bits = tables.bits(data, offsets)
-                    pick = bits.argmin(1)
-                    least = bits[np.arange(hi - lo), pick]
-                    score = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                    rate = least / np.maximum(np.diff(offsets), 1)
-                has = letters[lo:hi] & (tables is not None)
-                lang = names[np.where(has, pick, len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(np.where(has, rate, 0.0))], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+                    total = np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+                lang = pc.if_else(letters.slice(lo, hi - lo), pa.array(lang, pa.string()), pa.scalar("und"))
+                kept = b.column(1).slice(lo, hi - lo) if with_text else pa.nulls(hi - lo, pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), kept, lang, pa.array(least), pa.array(total), pa.array(np.diff(offsets).astype(np.int64))], ["doc_id", "text", "lang_pred", "least", "total", "bytes"])
 
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
-    return out.withColumnRenamed("doc_id", id_col)
+    return docs.mapInArrow(run, "doc_id long, text string, lang_pred string, least double, total double, bytes long")
+
+
+def predict(docs: DataFrame, groups: Iterable[Trees], id_col: str = "doc_id") -> DataFrame:
+    """id_col, lang_pred, score, bits_per_byte for each row of docs; only its id and text are read."""
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
+    groups = iter(groups)
+    trees = next(groups, None)
+    while trees:
+        more = next(groups, None)
+        out = _compared(out, trees, more is not None)
+        if more:
+            out = stage(out, "language-passes")
+        trees = more
+    if "least" not in out.columns:
+        out = out.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("least"), F.lit(1.0).alias("total"), F.lit(1).alias("bytes"))
+    known = F.col("lang_pred") != "und"
+    score, rate = F.lit(1.0) / F.col("total"), F.col("least") / F.greatest("bytes", F.lit(1))
+    return out.select(F.col("doc_id").alias(id_col), "lang_pred", F.when(known, score).otherwise(0.0).alias("score"), F.when(known, rate).otherwise(0.0).alias("bits_per_byte"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    trees = fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    return predict(docs, trees).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    groups = fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
+    return predict(docs, groups).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
