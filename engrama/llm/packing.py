@@ -1,7 +1,9 @@
 """Packing documents into fixed token windows by best-fit decreasing over a segment tree.
 
 Each task tokenises the texts of its partition and packs them in blocks of at most block_tokens tokens, so that memory is
-bounded and nothing is shuffled; padding is lost only in the last few windows of a block. Overlong documents are first
+bounded and nothing is shuffled; padding is lost only in the last few windows of a block. Partitions with less than
+TASK_BYTES of text on average are put together first (coalesced, again without a shuffle), so that a block is never small
+because the table was written in many small files. Overlong documents are first
 cut into full windows, which are sequences of their own; what remains of each is packed with the others: pieces go, longest
 first, to the open window with the least capacity that still holds them, found in a segment tree indexed by remaining
 capacity.
@@ -25,6 +27,7 @@ WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 4_000_000
 CACHE_WORDS = 400_000
+TASK_BYTES = 8_000_000
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -148,6 +151,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     sequence_id is the number of the task in its upper bits and counts up within it.
     """
     vocabulary = vocabulary or vocabulary_path()
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long")).alias("n")).first()["n"] or 0
+    docs = docs.coalesce(-(-size // TASK_BYTES) or 1)  # more than there are changes nothing
     out_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
