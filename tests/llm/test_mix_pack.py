@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -142,12 +143,51 @@ def test_pipeline_stages(spark, sf):
     want = {i: t for (i, old), t in zip(text, lines_brute(text), strict=True) if t == old or WORD.search(t)}
     assert {r["doc_id"]: r["text"] for r in lines} == want
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
-    assert {r["doc_id"] for r in near} == {i for i, _, c in near_brute([(r["doc_id"], r["text"]) for r in lines], 5) if i == c}
+    now = [(r["doc_id"], r["text"]) for r in lines]
+    before = {r["doc_id"]: r["text"] for r in given_}
+    both = near_brute(now + [(i, before[i]) for i, t in now if before[i] != t], 5)
+    assert {r["doc_id"] for r in near} == {i for i, _, c in both if i == c} and len(near) < len(lines)
     plan = {r["doc_id"]: r["copies"] for r in mixing.mix(spark.createDataFrame(near, docs.schema)).where("taken > 0").collect()}
     assert Counter(r["doc_id"] for r in mix) == {i: n for i, n in plan.items() if n}
     check_pieces(corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), [(r["doc_id"], r["text"]) for r in mix])
 
 
+def test_pipeline_awkward(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ids given twice and an empty table, stage by stage."""
+    folder = str(tmp_path)
+    given_ = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars", "keep_id", "digest")
+    for docs in (given_, given_.where("false")):
+        docs.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1), (9, 0), (4, 0)], "doc_id long, quality int").write.mode("overwrite").parquet(f"{folder}/labels.parquet")
+        for name, function in corpus_pipeline.STAGES:
+            if name == "mixing":
+                rows = [tuple(r) for r in docs.collect()]
+                assert len(rows) == len(set(rows)), "repeated rows go with the near copies"
+            before, docs = docs, function(spark, docs, folder)
+            if name != "packing":
+                assert docs.columns == before.columns
+            docs = spark.createDataFrame([tuple(r) for r in docs.collect()], docs.schema)
+
+
+def test_pipeline_catches_near_copies(spark, tmp_path):
+    """A near copy of which line dedup leaves a stump goes with its stump; a document that only shares a line stays."""
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    body = [words(12) for _ in range(20)]
+    rows = [(1, "\n".join(body)), (2, "\n".join([*body[:19], words(12)])), (3, "\n".join([body[0], *(words(12) for _ in range(12))]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["line dedup"](spark, docs, str(tmp_path))
+    assert left.count() == 3
+    assert sorted(r["doc_id"] for r in stages["near-dedup"](spark, left, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_small_partitions_are_packed_together(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(50)
+    assert check_pieces(packing.pack(docs).collect(), [(r["doc_id"], r["text"]) for r in documents(sf)]) > 0.97
+
+
 def test_pipeline_runs(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "near-dedup", "mixing", "packing"]

@@ -85,11 +85,51 @@ def test_views_agree_after_co_training():
     rng = np.random.default_rng(1)
     y = (rng.random(400) < 0.7).astype(float)
     text, meta = rng.normal(size=(400, 4)) + 2 * y[:, None], rng.normal(size=(400, 2)) + y[:, None]
-    model = quality_classifier.co_train(text[:60], meta[:60], y[:60], text[60:300], meta[60:300])
-    combined, _, _ = model.scores(text[300:], meta[300:])
+    training = quality_classifier.CoTraining(text[:60], meta[:60], y[:60])
+    sure = {v: [k for k in range(60, 300) if abs(training.models[v].log_odds((text, meta)[v][k : k + 1])[0]) > 3] for v in (0, 1)}
+    training.next_round([(v, text[rows], meta[rows], (training.models[v].log_odds((text, meta)[v][rows]) > 0).astype(float)) for v, rows in sure.items()])
+    combined, _, _ = training.finish().scores(text[300:], meta[300:])
     assert ((combined > 0.5) == (y[300:] > 0.5)).mean() > 0.95
 
 
+def test_surest_are_the_surest(spark):
+    """Against a sort on the driver; labelled and taken documents are never handed over, repeated ids once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    y, text, meta = quality_classifier._numbers(quality_rules.labelled_sample(docs, labels, "quality", 6000), "_label")
+    models = quality_classifier.CoTraining(text, meta, (y > 0).astype(float)).models
+    ids, text, meta = quality_classifier._numbers(docs, "doc_id")
+    known = {r["doc_id"] for r in labels.collect()}
+    taken = set([i for i in ids.tolist() if i not in known][:20])
+    got = quality_classifier.surest(docs.unionByName(docs), labels.select("doc_id"), models, taken, (15, 9), 0.95)
+    want: dict[int, tuple[int, int]] = {}
+    for v, (m, x) in enumerate(zip(models, (text, meta), strict=True)):
+        p = 1 / (1 + np.exp(-m.log_odds(x)))
+        for label, n, sign in ((1, 15, -1), (0, 9, 1)):
+            open_ = [(sign * q, i) for q, i in zip(p.tolist(), ids.tolist(), strict=True) if i not in known | taken | set(want) and (q >= 0.95 if label else q <= 0.05)]
+            want |= {i: (v, label) for _, i in sorted(open_)[:n]}
+    assert got == want and want
+
+
+@pytest.mark.parametrize("module", [quality_rules, quality_classifier])
+def test_verdicts_on_labels_not_fitted(spark, module):
+    """Fitted on three quarters of the labels, judged on the rest."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = module.fit(docs, labels.where("doc_id % 4 <> 1"))
+    out = module.judge(docs, model) if module is quality_rules else module.score(docs, model)
+    kept = {r["doc_id"]: r["kept"] for r in out.collect()}
+    held = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 4 = 1").collect()}
+    right = sum(kept[i] == (q == 1) for i, q in held.items()) / len(held)
+    assert right >= 0.93, right
+
+
+def test_rules_from_awkward_labels(spark):
+    """Labels without a document, null labels, one document labelled twice, labels of one kind only."""
+    labels = spark.createDataFrame([(1, 1), (1, 1), (8, 0), (4, 0), (99, 1), (None, 1), (10, None)], "doc_id long, quality int")
+    assert quality_rules.judge(awkward(spark), quality_rules.fit(awkward(spark), labels)).count() == len(TEXTS)
+    assert quality_rules.fit(awkward(spark), labels.where("quality = 1")) == [] == quality_rules.fit(awkward(spark), labels.where("doc_id = 99"))
+
+
 def licenses_brute(rows, templates, n=5):
     out = set()
     for i, t in rows:
@@ -178,7 +218,7 @@ def ppm_bits(trees, k, text, order=3):
 
 def test_code_lengths_are_exact(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    trees = language_id.fit(docs, 20)
+    trees = next(language_id.fit(docs, 20))
     text = pytest.importorskip("pyarrow").array(["The quick brown fox", "", "Straße über alles 漢字 \x01", "a"])
     from engrama.llm.arrow_text import chunks
 
@@ -199,10 +239,30 @@ def test_language_accuracy(spark):
 
 def test_language_awkward(spark):
     docs = awkward(spark)
-    trees = language_id.fit(docs)
-    assert trees.langs == ["de", "en"]
+    trees = list(language_id.fit(docs))
+    assert [g.langs for g in trees] == [["de", "en"]]
     und = {r["doc_id"] for r in language_id.predict(docs, trees).where("lang_pred = 'und'").collect()}
     assert und == {4, 5, 6}
     nothing = language_id.fit(empty(spark))
     assert {r["lang_pred"] for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(empty(spark), trees).count() == 0
+
+
+def test_languages_in_groups(spark):
+    """As many passes as languages give what one pass gives; of languages with equal trees the first wins."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    twins = docs.where("lang is not null").unionByName(docs.where("lang is not null").withColumn("lang", F.concat("lang", F.lit("-twin"))))
+    one, many = list(language_id.fit(twins, 50)), list(language_id.fit(twins, 50, table_bytes=1))
+    assert len(one) == 1 and [g.langs for g in many] == [[lang] for lang in one[0].langs]
+    got, want = (sorted(map(tuple, language_id.predict(docs, g).collect())) for g in (many, one))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(a[2] == pytest.approx(b[2], abs=1e-9) and a[3] == pytest.approx(b[3]) for a, b in zip(got, want, strict=True))
+    assert not any(r[1].endswith("-twin") for r in want)
+
+
+def test_language_groups_stay_in_bounds():
+    contexts = {f"l{k}": 100 * (k + 1) for k in range(9)}
+    groups = language_id.grouped(contexts, 3_000_000)
+    assert sum(groups, []) == sorted(contexts) and len(groups) > 1
+    assert all(len(g) == 1 or sum(contexts[x] for x in g) * len(g) * 257 * 4 <= 3_000_000 for g in groups)
+    assert language_id.grouped({}, 10) == []
