@@ -27,9 +27,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where that is unset (tests, local mode)."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         atexit.register(shutil.rmtree, base, True)
         base = f"file://{base}"
