@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engrama.operators.components import components
-from engrama.session import shared_dir, stage
+from engrama.session import scratch, shared_dir, shuffles_dropped, stage
 
-__all__ = ["SPACE", "WORD", "attach_groups", "collapsed", "components", "shared_dir", "stage"]
+__all__ = ["SPACE", "WORD", "attach_groups", "collapsed", "components", "scratch", "shared_dir", "shuffles_dropped", "stage"]
 
 #: ASCII white space that separates words; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"

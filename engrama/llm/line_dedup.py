@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, shared_dir, stage
+from .common import attach_groups, scratch, shared_dir, shuffles_dropped, stage
 from .links import link_classes
 
 SHINGLE = 8
@@ -107,7 +107,8 @@ def _distinct(spark: SparkSession, lines: DataFrame) -> str:
     """The name of a table (lid, line) of the distinct lines, bucketed by lid; its files lie in the shared folder."""
     name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = lines.select("lid", "line").dropDuplicates(["lid"])  # dealt by lid into as many partitions: a bucket is one file
-    rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", shared_dir(spark, "lines")).saveAsTable(name)
+    with shuffles_dropped(spark):
+        rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", shared_dir(spark, "lines")).saveAsTable(name)
     return name
 
 
@@ -177,17 +178,18 @@ def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
 
 def dropped_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc, tk, gone): for each document that loses lines, their positions."""
-    places, classes = line_components(docs, **options)
-    total = places.count()
-    if classes is None:
-        places = places.withColumn("c", F.col("lid"))
-    else:
-        places = places.join(classes, F.col("lid") == F.col("id"), "left").select("doc", "tk", "pos", F.coalesce("component", "lid").alias("c"))
-    at = F.struct("doc", "tk", "pos")
-    firsts = stage(places.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
-    # a line on which a large share of all documents agree is looked up by broadcast, the others by a join
-    gone = attach_groups(places, firsts, "c", "n", total, "doc").where("n > 1").where(at != F.col("first"))
-    return stage(gone.groupBy("doc", "tk").agg(F.collect_set("pos").alias("gone")), "line-drops")
+    with scratch(docs.sparkSession):
+        places, classes = line_components(docs, **options)
+        total = places.count()
+        if classes is None:
+            places = places.withColumn("c", F.col("lid"))
+        else:
+            places = places.join(classes, F.col("lid") == F.col("id"), "left").select("doc", "tk", "pos", F.coalesce("component", "lid").alias("c"))
+        at = F.struct("doc", "tk", "pos")
+        firsts = stage(places.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
+        # a line on which a large share of all documents agree is looked up by broadcast, the others by a join
+        gone = attach_groups(places, firsts, "c", "n", total, "doc").where("n > 1").where(at != F.col("first"))
+        return stage(gone.groupBy("doc", "tk").agg(F.collect_set("pos").alias("gone")), "line-drops", keep=True)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
-from .common import attach_groups, components, stage
+from .common import attach_groups, components, scratch, stage
 from .links import link_classes
 
 COORDINATES = 18
@@ -163,6 +163,11 @@ def similar_in_lists(open_: DataFrame, merged: DataFrame, texts: DataFrame, n: i
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, kept for each row of docs. docs is read again for the texts of candidates."""
+    with scratch(docs.sparkSession):
+        return stage(_near_duplicates(docs, shingle, percent, match, id_col, text_col), "near-duplicates", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, match: int, id_col: str, text_col: str) -> DataFrame:
     rows = stage(signatures(docs, shingle, id_col, text_col), "near-signatures")
     total = rows.count()
     real = rows.where("digest is not null and id is not null")
