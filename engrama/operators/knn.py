@@ -1,10 +1,13 @@
-"""Exact nearest neighbours of a set of queries among all nodes, in one pass over the nodes for each block of queries."""
+"""Exact nearest neighbours of a set of queries among all nodes: both are dealt into blocks, and blocks meet in a join.
+
+A block is one row: the ids, sizes and vectors of up to BLOCK rows as bytes. Query blocks and node blocks meet on a grid of
+strips, each block of one side in every strip of the other, so that a pair of blocks is one matrix product in one task. A
+task keeps the k best of each query over all node blocks it sees, and only these are shuffled. No query passes the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-from itertools import batched
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,61 +17,88 @@ from pyspark.sql import functions as F
 
 from engrama.functions import vectors as V
 
-QUERY_BLOCK = 4096
+BLOCK = 2048
+#: So many query blocks have their best hits held in a task at once, before these are passed on as they are.
+HELD_BLOCKS = 64
 HIT = "qid long, id long, score double"
 
 
-def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows as doubles, and which rows have the dimension; others are zeros."""
-    fits = np.zeros(len(column), bool)
-    out = np.zeros((len(column), dim))
-    sizes = np.array([-1 if s is None else s for s in column.value_lengths().to_pylist()])
-    fits = sizes == dim
-    if fits.any():
-        out[fits] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    return out, fits
+def _unit(x: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1, keepdims=True)
+    return np.where(square > V.ZERO_NORM, x / np.sqrt(np.maximum(square, V.ZERO_NORM)), 0.0)
 
 
-def top_in_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of scores, positions of its k best (score down, id up): (row numbers, positions)."""
-    k = min(k, scores.shape[1])
-    if k == 0:
-        return np.zeros(0, int), np.zeros(0, int)
-    rows, places = [], []
-    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    for r, bound in enumerate(least):
-        at = np.flatnonzero(scores[r] >= bound)
-        at = at[np.lexsort((ids[at], -scores[r, at]))][:k]
-        rows.append(np.full(len(at), r))
-        places.append(at)
-    return np.concatenate(rows), np.concatenate(places)
-
-
-def _block(block: list, nodes: DataFrame, k: int | None, metric: str, above: float = 0.0) -> DataFrame:
-    """Hits of a block of queries: the k best of each in every batch, or with k None all that score more than above."""
-    qid = np.array([r["qid"] for r in block], np.int64)
-    dim = len(block[0]["v"])
-    q = np.array([r["v"] if r["v"] is not None and len(r["v"]) == dim else [0.0] * dim for r in block], float)
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        if metric == "dot":
-            return x
-        square = (x * x).sum(1, keepdims=True)
-        return np.where(square > V.ZERO_NORM, x / np.sqrt(np.maximum(square, V.ZERO_NORM)), 0.0)
-
-    q = unit(q)
+def _int8(x: np.ndarray) -> np.ndarray:
+    """What quantize and dequantize leave of each row: codes of eight bits, rounded half away from zero, times the scale."""
+    top = np.abs(x).max(1, keepdims=True, initial=0.0)
+    scale = np.where(top < 1e-10, 1.0, top / 127.0)
+    return np.clip(np.sign(x) * np.floor(np.abs(x) / scale + 0.5), -127, 127) * scale
+
+
+#: What is done to the vectors of either side, so that an inner product is the score.
+METRICS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"cosine": _unit, "dot": lambda x: x, "int8": _int8}
+
+
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as doubles with zeros behind shorter ones, and their sizes."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+    out = np.zeros((len(column), int(sizes.max(initial=0))))
+    for size in np.unique(sizes):
+        fits = sizes == size
+        out[fits, :size] = column.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+    return out, sizes
+
+
+def _blocks(rows: DataFrame, key: str, metric: str, block: int) -> DataFrame:
+    """(ids, sizes, vectors) of rows (key, v): one row for up to `block` of them; rows without a key or vector are left out."""
+    prepare = METRICS[metric]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 2048):
-                part = b.slice(lo, 2048)
-                x, _ = _matrix(part.column(1), dim)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                scores = q @ unit(x).T
-                rows, at = np.nonzero(scores > above) if k is None else top_in_batch(scores, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rows]), pa.array(ids[at]), pa.array(scores[rows, at])], ["qid", "id", "score"])
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                x, sizes = _matrix(part.column(1))
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, sizes, prepare(x))], ["ids", "sizes", "vectors"])
 
-    return nodes.select("id", V.doubles("v").alias("v")).where("id is not null and v is not null").mapInArrow(run, HIT)
+    return rows.select(F.col(key).cast("long").alias("key"), V.doubles("v").alias("v")).where("key is not null and v is not null").mapInArrow(run, "ids binary, sizes binary, vectors binary")
+
+
+def top_in_batch(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of scores, its k best (score down, id up): (scores, ids), both of k columns or of all there are."""
+    if scores.shape[1] > k:
+        bound = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k:].min(1, keepdims=True)
+        # ties at the bound are settled by the id: all candidates are ranked, best first, and k stay
+        most = int((scores >= bound).sum(1).max())
+        at = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+        scores, ids = np.take_along_axis(scores, at, 1), np.take_along_axis(ids, at, 1)
+    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+
+def _met(queries: DataFrame, nodes: DataFrame, metric: str, block: int) -> DataFrame:
+    """Pairs of blocks (q, n), on a grid of as many strips as there are shuffle partitions, the wider the more nodes there are."""
+    spark = queries.sparkSession
+    parts, n_queries, n_nodes = int(spark.conf.get("spark.sql.shuffle.partitions")), queries.count(), nodes.count()
+    wide = max(1, min(parts, round((parts * n_nodes / max(n_queries, 1)) ** 0.5), -(-n_nodes // block)))
+    high = max(1, min(parts // wide, -(-n_queries // block)))
+    place = F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # blocks one after another
+    q = _blocks(queries, "qid", metric, block).select(F.struct("ids", "sizes", "vectors").alias("q"), F.pmod(place, F.lit(high)).alias("j"))
+    n = _blocks(nodes, "id", metric, block).select(F.struct("ids", "sizes", "vectors").alias("n"), F.pmod(place, F.lit(wide)).alias("i"))
+    q = q.select("q", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(wide - 1).cast("long"))).alias("i"))
+    n = n.select("n", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(high - 1).cast("long"))).alias("j"))
+    return n.join(q, ["i", "j"]).select("q.*", F.col("n.ids").alias("n_ids"), F.col("n.sizes").alias("n_sizes"), F.col("n.vectors").alias("n_vectors"))
+
+
+def _scores(b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of queries, ids of nodes, scores) of a pair of blocks; vectors of different sizes score 0."""
+    q_ids, q_sizes, q, n_ids, n_sizes, n = (np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in enumerate((np.int64, np.int32, float) * 2))
+    q, n = q.reshape(len(q_ids), -1), n.reshape(len(n_ids), -1)
+    common = min(q.shape[1], n.shape[1])
+    scores = q[:, :common] @ n[:, :common].T
+    if (q_sizes != n_sizes[0]).any() or (n_sizes != n_sizes[0]).any():
+        scores = np.where(q_sizes[:, None] == n_sizes, scores, 0.0)
+    return q_ids, n_ids, scores
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -77,26 +107,49 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, nodes: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
+def knn(queries: DataFrame, nodes: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(qid, id, score, rank) of the k nodes (id, v) most similar to each query (qid, v), all compared exactly.
 
-    Queries come to the driver in blocks of at most `block`, and each block goes out to one pass over the nodes; every task
-    keeps k rows for each query and batch, so what is shuffled doesn't grow with the width of the nodes. Nodes without a
-    vector are left out; those of another size, and zero vectors, score 0.
+    Rows without a vector are left out; vectors of different sizes, and zero vectors, score 0.
     """
-    parts = [_block(list(rows), nodes, k, metric) for rows in batched(queries.select("qid", V.doubles("v").alias("v")).where("v is not null").toLocalIterator(), block)]
-    if not parts:
-        return queries.sparkSession.createDataFrame([], HIT + ", rank int")
-    return best(reduce(DataFrame.union, parts), k)
 
+    def hits(q_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids, n_ids, scores = _scores(b, row)
+                own = top_in_batch(scores, np.broadcast_to(n_ids, scores.shape), k)
+                name = b.column(0)[row].as_buffer().to_pybytes()
+                if name in held:
+                    _, more, ids = held[name]
+                    own = top_in_batch(np.hstack([own[0], more]), np.hstack([own[1], ids]), k)
+                elif len(held) == HELD_BLOCKS:
+                    yield from (hits(*h) for h in held.values())
+                    held = {}
+                held[name] = (np.array(q_ids), *own)
+        yield from (hits(*h) for h in held.values())
+
+    if k < 1:
+        return queries.sparkSession.sql("SELECT CAST(NULL AS LONG) qid, CAST(NULL AS LONG) id, CAST(NULL AS DOUBLE) score, 0 rank WHERE false")
+    return best(_met(queries, nodes, metric, block).mapInArrow(run, HIT), k)
+
+
+def similar_above(queries: DataFrame, nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(qid, id, score) of all nodes with a cosine above the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                q_ids, n_ids, scores = _scores(b, row)
+                at, to = np.nonzero(scores > threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(n_ids[to]), pa.array(scores[at, to])], ["qid", "id", "score"])
 
-def similar_above(queries: DataFrame, nodes: DataFrame, threshold: float, block: int = QUERY_BLOCK) -> DataFrame:
-    """(qid, id, score) of all nodes with a cosine above the threshold; no join, but a pass for each block of queries."""
-    parts = [_block(list(rows), nodes, None, "cosine", threshold) for rows in batched(queries.select("qid", V.doubles("v").alias("v")).where("v is not null").toLocalIterator(), block)]
-    return reduce(DataFrame.union, parts) if parts else queries.sparkSession.createDataFrame([], HIT)
+    return _met(queries, nodes, "cosine", block).mapInArrow(run, HIT)
 
 
 def knn_int8(queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """The same over quantized vectors: the score is the inner product of the codes, times both scales."""
-    coded = lambda df, key: df.select(key, V.quantize("v").alias("c")).select(key, V.dequantize("c.q", "c.scale").alias("v"))
-    return knn(coded(queries, "qid"), coded(nodes, "id"), k, metric="dot")
+    return knn(queries, nodes, k, metric="int8")

@@ -168,6 +168,21 @@ def test_knn_ties_blocks_and_odd_vectors(spark):
     assert knn.knn(q.limit(1), n, 50).count() == 12
 
 
+def test_knn_in_many_blocks_equals_one_product(spark):
+    rng = np.random.default_rng(9)
+    x, y = rng.integers(-3, 4, (300, 5)).astype(float), rng.integers(-3, 4, (40, 5)).astype(float)
+    n = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(300, [1.0] * 4)], "id long, v array<double>").repartition(5)
+    scores = y @ x.T
+    for block in (7, 64, 4096):
+        got = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in knn.knn(queries(spark, y), n, 6, "dot", block).collect()}
+        for q, own in enumerate(scores):
+            best = sorted(((-s, i) for i, s in enumerate(own)))[:6]
+            assert [got[q, k + 1] for k in range(6)] == [(i, -s) for s, i in best]
+    near = knn.similar_above(queries(spark, y), n, 0.9, 16).count()
+    norm = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+    assert near == (scores > 0.9 * norm + 1e-12)[norm > 0].sum() if norm.all() else near > 0
+
+
 def test_insert_checks(spark):
     n = store(spark, [(0, None, [0, 0], 0, "r")])
     new = lambda *rows: spark.createDataFrame(rows, "seq long, parent_id long, v array<double>, metadata string")
