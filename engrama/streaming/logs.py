@@ -75,8 +75,9 @@ def dreaming(ticks: DataFrame, store: Store, budget_mb: float, dim: int, checkpo
     """On each batch of ticks, look at the pressure on the store and run a dream cycle if it is too high."""
 
     def run(_: DataFrame, __: int) -> None:
-        nodes = store.read()
+        at = store.snapshot()
+        nodes = store.read(at)
         if dream.pressure(nodes, budget_mb, dim).first()["should_dream"]:
-            store.publish(dream.dream(nodes)[0].select(*[f.name for f in nodes.schema]))
+            store.publish(dream.dream(nodes)[0].select(*[f.name for f in nodes.schema]), at)
 
     return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": every})).start()
