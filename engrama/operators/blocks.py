@@ -38,20 +38,3 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, blocks: int = 8,
     asked = chosen.join(queries.select("qid", F.col("v").alias("qv")), "qid")
     hits = blocked(vectors, size).join(asked, "block_id").select("qid", "id", V.cosine("qv", "v").alias("score"))
     return best(hits, k)
-
-
-def timeline(rows: DataFrame, order: str) -> DataFrame:
-    """Adds seq to rows that have no gapless number; see tree.numbered."""
-    from .tree import numbered
-
-    return numbered(rows, order, "seq")
-
-
-def spans(vectors: DataFrame, first: float, last: float, size: int = BLOCK) -> DataFrame:
-    """Blocks that overlap a stretch of time."""
-    return centroids(vectors, size).where((F.col("last_ts") >= first) & (F.col("first_ts") <= last))
-
-
-def newest_blocks(vectors: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
-    order = W.orderBy(F.desc("block_id"))
-    return blocked(vectors, size).select("block_id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")

@@ -1,21 +1,19 @@
-"""The similarity cache: its content after a log of inserts, lookups in two levels, and the sequential simulation.
+"""The similarity cache: its content after a log of inserts, lookups in two levels, and navigation behind it.
 
 Lookups do not refresh entries, so after any log of inserts the cache is the `slots` distinct nodes inserted last, each with
-its latest vector: an aggregation and a rank. Only the cache inside navigation, where a miss inserts what it found, needs
-its rows in order; that runs per session in applyInPandas.
+its latest vector: an aggregation and a rank.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from engrama.functions import vectors as V
+from engrama.session import stage
 
 from .knn import knn
 
@@ -59,44 +57,16 @@ def live_sessions(touches: DataFrame, most: int = SESSIONS) -> DataFrame:
     return touches.groupBy("session_id").agg(F.max("tick").alias("tick")).orderBy(F.desc("tick"), "session_id").limit(most)
 
 
-Held = list[tuple[int, np.ndarray]]
+def navigate_cached(queries: DataFrame, inserts: DataFrame, answer: Callable[[DataFrame], DataFrame], threshold: float = HIT) -> DataFrame:
+    """(qid, level, id, score, rank): a query (qid, session_id, v) that hits a cache is answered by that node alone (level 1
+    or 2); the others (level 0) go to answer, which takes them and returns (qid, id, score, rank), and to it only."""
+    found = stage(two_level_lookup(queries, inserts, threshold), "cache-lookups")
+    hits = found.where("level > 0").select("qid", "level", "id", "score", F.lit(1).alias("rank"))
+    missed = answer(queries.join(found.where("level = 0").select("qid"), "qid", "left_semi"))
+    return hits.unionByName(missed.select("qid", F.lit(0).alias("level"), "id", "score", "rank"))
 
 
-def simulate_session(rows: list[tuple[int, np.ndarray, int, np.ndarray]], slots: int = SLOTS, threshold: float = HIT, held: Held = ()) -> tuple[list[tuple[int, bool, int]], Held]:
-    """For lookups (seq, query, best node, its vector) in order: (seq, hit, node returned), and the cache in the end.
-
-    A miss caches the best node; held is the cache in the beginning, oldest entry first.
-    """
-    cache: OrderedDict[int, np.ndarray] = OrderedDict(held)
-    out = []
-    for seq, query, node, vector in rows:
-        answer, top = None, threshold
-        if cache:
-            ids, m = list(cache), np.stack(list(cache.values()))
-            scores = m @ query / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(query), 1e-12)
-            k = int(scores.argmax())
-            if scores[k] >= top:
-                answer = ids[k]
-        if answer is None:
-            cache.pop(node, None)
-            cache[node] = vector
-            if len(cache) > slots:
-                cache.popitem(last=False)
-        out.append((seq, answer is not None, node if answer is None else answer))
-    return out, list(cache.items())
-
-
-def simulate(lookups: DataFrame, slots: int = SLOTS, threshold: float = HIT) -> DataFrame:
-    """(session_id, seq, hit, node_id) of lookups (session_id, seq, qv, best_id, best_v) run through a cache a session.
-
-    The cache depends on every earlier lookup of its session, so a session is one group; sessions run in parallel.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        rows = [(int(s), np.asarray(q, float), int(i), np.asarray(v, float)) for s, q, i, v in zip(pdf["seq"], pdf["qv"], pdf["best_id"], pdf["best_v"], strict=True)]
-        out = pd.DataFrame(simulate_session(rows, slots, threshold)[0], columns=["seq", "hit", "node_id"])
-        out.insert(0, "session_id", pdf["session_id"].iloc[0])
-        return out
-
-    return lookups.groupBy("session_id").applyInPandas(run, "session_id string, seq long, hit boolean, node_id long")
+def occupied(inserts: DataFrame, slots: int = SLOTS, by: str | None = None) -> DataFrame:
+    """(by, occupied): how many slots are in use, for each value of by, or in all."""
+    held = snapshot(inserts, slots, by)
+    return (held.groupBy(by) if by else held.groupBy()).agg(F.count("*").alias("occupied"))

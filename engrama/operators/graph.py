@@ -10,6 +10,7 @@ from engrama.session import stage
 
 from .components import components
 from .knn import similar_above
+from .tree import is_dead
 
 
 def next_edges(events: DataFrame) -> DataFrame:
@@ -70,10 +71,12 @@ def shared_anchor_clusters(edges: DataFrame) -> DataFrame:
 
 
 def prune_eligible(events: DataFrame, edges: DataFrame, committed: DataFrame, before: int) -> DataFrame:
-    """(id) of events older than `before` (by id), with all their REFs committed (concept ids) and without an outgoing CAUSAL edge."""
+    """(id) of events older than `before` (by id), with all their REFs committed (concept ids) and without a CAUSAL edge to
+    an active event: one that is in events and not a tombstone."""
     refs = edges.where("relation = 'REF'").select(F.col("src").alias("id"), F.col("dst").alias("concept"))
     open_refs = refs.join(committed.select(F.col("id").alias("concept")), "concept", "left_anti").select("id")
-    causes = edges.where("relation = 'CAUSAL'").select(F.col("src").alias("id"))
+    active = events.where(~is_dead()).select(F.col("id").alias("dst"))
+    causes = edges.where("relation = 'CAUSAL'").join(active, "dst", "left_semi").select(F.col("src").alias("id"))
     return events.where(F.col("id") < before).select("id").join(open_refs.union(causes).distinct(), "id", "left_anti")
 
 
@@ -100,6 +103,19 @@ def as_json(events: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("session_id", F.to_json(F.struct("nodes", F.coalesce("edges", F.array().cast("array<struct<src:bigint,dst:bigint>>")).alias("edges"))).alias("graph"))
 
 
+def from_json(graphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events (id, session_id) and NEXT edges (src, dst, relation) of graphs (session_id, graph) that as_json has made."""
+    parsed = graphs.select("session_id", F.from_json("graph", "nodes array<long>, edges array<struct<src: long, dst: long>>").alias("g"))
+    edges = parsed.select(F.explode("g.edges").alias("e")).select("e.src", "e.dst", F.lit("NEXT").alias("relation"))
+    return parsed.select(F.explode("g.nodes").alias("id"), "session_id"), edges
+
+
+def link(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """edges with those of new; an edge that is there already is not added again."""
+    columns = ["src", "dst", "relation"]
+    return edges.unionByName(new.select(*columns).distinct().join(edges.select(*columns).distinct(), columns, "left_anti"), allowMissingColumns=True)
+
+
 def link_concepts(navigated: DataFrame, events: DataFrame, top: int = 3) -> DataFrame:
     """CAUSAL edges from each event to the best concepts that navigation found for it (qid is the event's id)."""
     ranked = navigated.join(events.select(F.col("id").alias("qid")), "qid", "left_semi")
@@ -111,7 +127,3 @@ def active_room(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(session_id, room, id): the children of the concept that each session (session_id, seq, concept_id) linked last."""
     last = links.where("concept_id is not null").groupBy("session_id").agg(F.max_by("concept_id", "seq").alias("room"))
     return last.join(nodes.select(F.col("parent_id").alias("room"), "id"), "room").select("session_id", "room", "id")
-
-
-def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "src long, dst long, relation string")

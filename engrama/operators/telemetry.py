@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from engrama.functions import vectors as V
 
+#: A query whose best similarity stays below is a cold miss; any other is a hit.
 COLD = 0.65
-HIT = 0.85
 RATE_WINDOW = 1000
 MEAN_WINDOW = 100
 LEAST_RATE = 0.70
@@ -29,7 +29,7 @@ def cold_misses(queries: DataFrame, hits: DataFrame, threshold: float = COLD) ->
     return queries.select("qid").join(top, "qid", "left").select("qid", best.alias("best"), (best < threshold).alias("needs_cloud"))
 
 
-def tiered(queries: DataFrame, local: DataFrame, cloud: DataFrame, threshold: float = COLD, hit: float = HIT) -> DataFrame:
+def tiered(queries: DataFrame, local: DataFrame, cloud: DataFrame, threshold: float = COLD) -> DataFrame:
     """(qid, id, score, rank, needs_cloud, hit): local answers, with those of the cloud merged in where local ones are cold.
 
     The cloud flag goes by the best local score, the hit flag by the best score after merging.
@@ -37,7 +37,7 @@ def tiered(queries: DataFrame, local: DataFrame, cloud: DataFrame, threshold: fl
     flags = cold_misses(queries, local, threshold)
     asked = cloud.join(flags.where("needs_cloud").select("qid"), "qid", "left_semi")
     merged = merge_tiers(local, asked).join(flags.select("qid", "needs_cloud"), "qid")
-    return merged.withColumn("hit", F.max("score").over(W.partitionBy("qid")) >= hit)
+    return merged.withColumn("hit", F.max("score").over(W.partitionBy("qid")) >= threshold)
 
 
 def rolling_hit_rate(rows: DataFrame, window: int = RATE_WINDOW) -> DataFrame:
@@ -83,7 +83,7 @@ def drift(rows: DataFrame, window: int = MEAN_WINDOW) -> DataFrame:
     return out.select("session_id", "seq", F.when(F.col("n") >= window, V.js_divergence("p", "q")).otherwise(F.lit(0.0)).alias("drift"))
 
 
-def alerts(rows: DataFrame, hit: float = HIT) -> DataFrame:
+def alerts(rows: DataFrame, hit: float = COLD) -> DataFrame:
     """(session_id, seq, hit, hit_rate, drift, alert) of rows (session_id, seq, qv, best_similarity)."""
     rated = rolling_hit_rate(rows.withColumn("hit", F.col("best_similarity") >= hit))
     n = F.row_number().over(W.partitionBy("session_id").orderBy("seq"))

@@ -5,6 +5,8 @@ Events are rows (id, session_id, role, text, ts, concept_id, flags); id grows wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,7 +55,8 @@ def tails(events: DataFrame) -> DataFrame:
 
 
 def history(events: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest live events of each session, with age counted from 1; tombstones don't use up the limit."""
+    """The newest live events of each session, with age counted from 1; tombstones don't use up the limit, which is 1 at least."""
+    limit = max(1, limit)
     newest = W.partitionBy("session_id").orderBy(F.desc("id"))
     return events.where(~is_dead()).withColumn("age", F.row_number().over(newest)).where(F.col("age") <= limit)
 
@@ -106,3 +109,31 @@ def prompt_history(events: DataFrame, turns: int = 6) -> DataFrame:
 def grounded(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """Events with the node that concept_id names, if any."""
     return events.join(nodes.select(F.col("id").alias("concept_id"), F.col("metadata").alias("concept")), "concept_id", "left")
+
+
+def resolve(ids: DataFrame, *layers: DataFrame) -> DataFrame:
+    """The event of each of ids (id), from the first of the layers (base, delta, ...) that has it; ids in none are left out.
+
+    All columns of the events, and layer, counted from 0. Id 0 names no event.
+    """
+    wanted = ids.where("id <> 0").select("id").distinct()
+    each = [rows.join(wanted, "id", "left_semi").withColumn("layer", F.lit(k)) for k, rows in enumerate(layers)]
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each)
+    return both.withColumn("_k", F.row_number().over(W.partitionBy("id").orderBy("layer"))).where("_k = 1").drop("_k")
+
+
+def sizes(base: DataFrame, delta: DataFrame) -> DataFrame:
+    """One row (total, base, delta): events by layer, tombstones included."""
+    both = base.select(F.lit(0).alias("d")).union(delta.select(F.lit(1).alias("d")))
+    return both.agg(F.count("*").alias("total"), F.count_if(F.col("d") == 0).alias("base"), F.count_if(F.col("d") == 1).alias("delta"))
+
+
+def has_sessions(asked: DataFrame, events: DataFrame) -> DataFrame:
+    """(session_id, has): whether the log has an event of each session asked for."""
+    known = events.select("session_id").distinct().withColumn("_has", F.lit(True))
+    return asked.select("session_id").distinct().join(known, "session_id", "left").select("session_id", F.coalesce("_has", F.lit(False)).alias("has"))
+
+
+def full_text(events: DataFrame) -> DataFrame:
+    """Adds full_text: the text, or where it is missing or empty the preview (text_preview)."""
+    return events.withColumn("full_text", F.when(F.octet_length("text") > 0, F.col("text")).otherwise(F.col("text_preview")))

@@ -9,7 +9,8 @@ from engrama.functions import vectors as V
 from engrama.operators import trace
 
 FANOUT = 8
-DELTA_ROWS = 20
+#: One row in so many, the last ones, is still in the delta.
+DELTA_SHARE = 10
 TURNS = 100_000
 
 
@@ -39,9 +40,10 @@ def gap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Base and delta: the last 20 ids are still in the delta."""
+    """Base and delta: the last tenth of the ids is still in the delta."""
     n = nodes(spark, sf_dir)
-    first = n.agg(F.count("*")).first()[0] - DELTA_ROWS
+    rows = n.count()
+    first = rows - rows // DELTA_SHARE
     return n.where(F.col("id") < first), n.where(F.col("id") >= first)
 
 
@@ -93,7 +95,7 @@ SQL = {
   SELECT vec_id AS id, CASE WHEN vec_id > 0 THEN (vec_id - 1) // {FANOUT} END AS parent_id, embedding::DOUBLE[] AS v,
          CASE WHEN vec_id % 10 = 7 THEN 1 ELSE 0 END AS flags, CASE WHEN vec_id % 10 = 7 THEN 1e9 ELSE 0.0 END AS hub_penalty,
          'layer_' || (label % 5) AS layer_id, 'label=' || label AS metadata,
-         vec_id >= (SELECT count(*) FROM embeddings) - {DELTA_ROWS} AS is_delta FROM embeddings)""",
+         vec_id >= (SELECT count(*) - count(*) // {DELTA_SHARE} FROM embeddings) AS is_delta FROM embeddings)""",
     "gap_nodes": "gap_nodes AS (SELECT * REPLACE (CASE WHEN id = 0 THEN NULL WHEN id % 11 = 0 THEN 0 ELSE parent_id END AS parent_id) FROM nodes)",
     "asked": """asked AS (
   SELECT a.vec_id AS qid, list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] + 0.3 * (a.vec_id // 20 % 4) * z[2]) AS qv

@@ -73,6 +73,12 @@ def graph_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.as_json(fx.events(spark, sf_dir), fx.edges(spark, sf_dir))
 
 
+def graph_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after a round trip through JSON, linked again with all edges: none comes twice."""
+    _, edges = graph.from_json(graph_json(spark, sf_dir))
+    return graph.link(edges, fx.edges(spark, sf_dir))
+
+
 def link_top_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn in twenty is navigated through the tree and linked to the three best concepts."""
     q = embedded_events(spark, sf_dir).where("id % 20 = 1").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
@@ -86,10 +92,10 @@ def active_room(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PRUNED = """bound AS (SELECT max(id) // 2 AS b FROM log),
-pruned AS (SELECT id FROM log, bound WHERE id < b AND id NOT IN (SELECT src FROM edges WHERE relation = 'CAUSAL')
+pruned AS (SELECT id FROM log, bound WHERE id < b AND id NOT IN (SELECT src FROM edges JOIN log w ON w.id = dst WHERE relation = 'CAUSAL' AND w.flags = 0)
   AND id NOT IN (SELECT src FROM edges WHERE relation = 'REF' AND NOT (dst BETWEEN 0 AND 9 AND dst <> 3)))"""
 
-QUERIES = {f.__name__: f for f in (graph_edges, backtrack_k, ref_edges, anchors_inverse, causal_ancestors, spreading_activation, shared_anchor_clusters, prune_eligible, chain_contract, typed_vertices, graph_json, link_top_concepts, active_room)}
+QUERIES = {f.__name__: f for f in (graph_edges, backtrack_k, ref_edges, anchors_inverse, causal_ancestors, spreading_activation, shared_anchor_clusters, prune_eligible, chain_contract, typed_vertices, graph_json, graph_reloaded, link_top_concepts, active_room)}
 SQL = {
     "graph_edges": with_("edges", "SELECT src, dst, relation FROM edges"),
     "backtrack_k": with_("log", "b AS (SELECT id, lag(id, 2) OVER (PARTITION BY session_id ORDER BY id) AS back_id FROM log) SELECT * FROM b WHERE back_id IS NOT NULL"),
@@ -112,6 +118,13 @@ SELECT id, round(sum(a), 6) + 0.0 AS activation FROM (SELECT * FROM s0 UNION ALL
 UNION ALL SELECT 'c_' || (id % 50), 'Concept', arg_min(metadata, id) FROM nodes GROUP BY id % 50)
 SELECT kind, count(*) AS n, min(vertex) AS first, max(label) AS last_label FROM v GROUP BY kind""",
     ),
+    "graph_json": with_(
+        "edges",
+        """n AS (SELECT session_id, list(id ORDER BY id) AS nodes FROM log GROUP BY session_id),
+e AS (SELECT session_id, list({'src': src, 'dst': dst} ORDER BY src, dst) AS edges FROM edges JOIN log ON log.id = dst WHERE relation = 'NEXT' GROUP BY session_id)
+SELECT session_id, to_json({'nodes': nodes, 'edges': coalesce(edges, [])})::VARCHAR AS graph FROM n LEFT JOIN e USING (session_id)""",
+    ),
+    "graph_reloaded": with_("edges", "SELECT DISTINCT src, dst, relation FROM edges"),
     "link_top_concepts": beam_sql(
         3,
         fixtures="log nodes",

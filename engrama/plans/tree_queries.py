@@ -128,16 +128,15 @@ def cache_sessions_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.live_sessions(touches, 20)
 
 
-def cache_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation with the cache in front of it: every query of a session in turn; no SQL, as each depends on the last."""
-    from engrama.operators.knn import knn
+def cached_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigation with both caches in front: only queries that miss them go through the tree."""
+    q = fx.asked(spark, sf_dir).select("qid", F.concat(F.lit("s"), (F.col("qid") % 3).cast("string")).alias("session_id"), "v", "qv")
+    out = cache.navigate_cached(q, _inserts(spark, sf_dir), lambda missed: tree.navigate(missed, fx.nodes(spark, sf_dir), None, 3))
+    return out.select("qid", F.col("level").cast("long").alias("level"), "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
-    t = fx.telemetry(spark, sf_dir).withColumn("qid", F.col("seq") * 2 + F.substring("session_id", 2, 1).cast("long"))
-    n = fx.nodes(spark, sf_dir)
-    asked = t.where("qid % 20 = 0").select("qid", F.col("qv").alias("v"))
-    found = knn(asked, n.where("id % 3 = 0"), 1).select("qid", F.col("id").alias("best_id"))
-    rows = t.join(found, "qid").join(n.select(F.col("id").alias("best_id"), F.col("v").alias("best_v")), "best_id")
-    return cache.simulate(rows.select("session_id", "seq", "qv", "best_id", "best_v"), threshold=0.2)
+
+def cache_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.occupied(_inserts(spark, sf_dir), by="session_id")
 
 
 def beam_sql(width: int, nodes: str = "SELECT * FROM nodes WHERE flags = 0", score: str = "list_cosine_similarity(b.qv, n.v)", levels: int = 8, fixtures: str = "nodes asked", select: str = "", first: str = "") -> str:
@@ -154,6 +153,13 @@ _COMPACT = """base AS (SELECT * FROM nodes WHERE NOT is_delta AND flags = 0), ma
 fresh AS (SELECT id AS old_id, (SELECT count(*) FROM map) + row_number() OVER (ORDER BY id) - 1 AS id FROM nodes WHERE is_delta AND flags = 0)"""
 _INSERTS = """inserts AS (SELECT id AS tick, id AS node_id, 's' || (id % 3) AS session_id, v FROM nodes
 UNION ALL SELECT id + 100000001 + (id * 7919) % 1000 * 1000000, id, 's' || (id % 3), v FROM nodes WHERE id % 2 = 0)"""
+_LOOKUP = """one AS (SELECT session_id, node_id, max(tick) AS tick, arg_max(v, tick) AS v FROM inserts GROUP BY session_id, node_id QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY max(tick) DESC, node_id) <= 64),
+two AS (SELECT node_id, max(tick) AS tick, arg_max(v, tick) AS v FROM inserts GROUP BY node_id ORDER BY tick DESC, node_id LIMIT 256),
+a AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked JOIN one ON session_id = 's' || (qid % 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1),
+b AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked, two QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1),
+looked AS (SELECT q.qid, CASE WHEN a.s >= 0.85 THEN 1 WHEN b.s >= 0.85 THEN 2 ELSE 0 END::BIGINT AS level,
+CASE WHEN a.s >= 0.85 THEN a.id WHEN b.s >= 0.85 THEN b.id END AS id, CASE WHEN a.s >= 0.85 THEN a.s WHEN b.s >= 0.85 THEN b.s END AS s
+FROM asked q LEFT JOIN a USING (qid) LEFT JOIN b USING (qid))"""
 _BLOCKS = f"""blocked AS (SELECT id // {BLOCK} AS block_id, id, id * 0.5::DOUBLE AS ts, v FROM nodes),
 parts AS (SELECT block_id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM blocked), means AS (SELECT block_id, pos, avg(x) AS m FROM parts GROUP BY ALL),
 facts AS (SELECT block_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) = {BLOCK} AS sealed FROM blocked GROUP BY block_id)"""
@@ -162,7 +168,7 @@ QUERIES = {
     "beam1": _beam(1),
     "beam3": _beam(3),
     "csls_penalty": _beam(3, mode="compat", csls=True),
-    **{f.__name__: f for f in (tree_parents, linked_children, get_children, tree_depth, beam_compat_gaps, navigate_merge_delta, tombstone_count, delta_prune, delta_ids, compact_ids, compact_links, consolidate, dream_cycle, dream_pressure, stub_summary, block_centroids, block_search, cache_lru_snapshot, cache_l1_l2, cache_sessions_lru, cache_simulated)},
+    **{f.__name__: f for f in (tree_parents, linked_children, get_children, tree_depth, beam_compat_gaps, navigate_merge_delta, tombstone_count, delta_prune, delta_ids, compact_ids, compact_links, consolidate, dream_cycle, dream_pressure, stub_summary, block_centroids, block_search, cache_lru_snapshot, cache_l1_l2, cache_sessions_lru, cached_navigation, cache_slots)},
 }
 SQL = {
     "tree_parents": with_("nodes", "SELECT n.id, n.parent_id, count(c.id) AS n_children FROM nodes n LEFT JOIN nodes c ON c.parent_id = n.id GROUP BY n.id, n.parent_id"),
@@ -202,15 +208,13 @@ hits AS (SELECT qid, id, list_cosine_similarity(qv, v) AS s FROM near JOIN block
 SELECT qid, id, round(s, 6) + 0.0 AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id)::INT AS rank FROM hits QUALIFY rank <= 5""",
     ),
     "cache_lru_snapshot": with_("nodes", f"{_INSERTS} SELECT node_id, max(tick) AS tick FROM inserts GROUP BY node_id ORDER BY tick DESC, node_id LIMIT 64"),
-    "cache_l1_l2": with_(
-        "nodes asked",
-        f"""{_INSERTS}, one AS (SELECT session_id, node_id, max(tick) AS tick, arg_max(v, tick) AS v FROM inserts GROUP BY session_id, node_id QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY max(tick) DESC, node_id) <= 64),
-two AS (SELECT node_id, max(tick) AS tick, arg_max(v, tick) AS v FROM inserts GROUP BY node_id ORDER BY tick DESC, node_id LIMIT 256),
-a AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked JOIN one ON session_id = 's' || (qid % 3) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1),
-b AS (SELECT qid, node_id AS id, list_cosine_similarity(qv, v) AS s FROM asked, two QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) = 1)
-SELECT q.qid, CASE WHEN a.s >= 0.85 THEN 1 WHEN b.s >= 0.85 THEN 2 ELSE 0 END::BIGINT AS level,
-CASE WHEN a.s >= 0.85 THEN a.id WHEN b.s >= 0.85 THEN b.id END AS id, round(CASE WHEN a.s >= 0.85 THEN a.s WHEN b.s >= 0.85 THEN b.s END, 6) + 0.0 AS score
-FROM asked q LEFT JOIN a USING (qid) LEFT JOIN b USING (qid)""",
+    "cache_l1_l2": with_("nodes asked", f"{_INSERTS}, {_LOOKUP} SELECT qid, level, id, round(s, 6) + 0.0 AS score FROM looked"),
+    "cached_navigation": beam_sql(
+        3,
+        first=f"{_INSERTS}, {_LOOKUP}",
+        select="""SELECT qid, level, id, round(s, 6) + 0.0 AS score, 1::BIGINT AS rank FROM looked WHERE level > 0
+UNION ALL SELECT qid, 0, path.id, round(path.s, 6) + 0.0, row_number() OVER (PARTITION BY qid ORDER BY path.s DESC, path.id) FROM path JOIN looked USING (qid) WHERE looked.level = 0""",
     ),
+    "cache_slots": with_("nodes", f"{_INSERTS} SELECT session_id, least(count(DISTINCT node_id), 64)::BIGINT AS occupied FROM inserts GROUP BY session_id"),
     "cache_sessions_lru": with_("log", "SELECT session_id, max(id) AS tick FROM log GROUP BY session_id ORDER BY tick DESC, session_id LIMIT 20"),
 }

@@ -1,4 +1,4 @@
-"""The write-ahead log: records (seq, payload, checksum), replayed up to the first that is damaged."""
+"""The write-ahead log: records (seq, type, size, payload, checksum), replayed up to the first that is damaged."""
 
 from __future__ import annotations
 
@@ -45,3 +45,26 @@ def replay(records: DataFrame, valid: Column, seq: str = "seq") -> DataFrame:
     """The records before the first that isn't valid. The bound is one number, found by a partial aggregation."""
     bad = records.where(~F.coalesce(valid, F.lit(False))).agg(F.min(seq).alias("_bad"))
     return records.join(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(seq) < F.col("_bad"))).drop("_bad")
+
+
+def framed(records: DataFrame, kind: int) -> DataFrame:
+    """Records (seq, payload) as the log holds them: type, size in bytes and checksum beside the payload."""
+    out = with_fnv1a(records.select("seq", "payload"))
+    return out.select("seq", F.lit(kind).alias("type"), F.coalesce(F.octet_length("payload"), F.lit(0)).alias("size"), "payload", F.col("fnv1a").alias("checksum"))
+
+
+def append(records: DataFrame, path: str, kind: int) -> None:
+    """Add records to the log under path; Spark commits them as a whole or not at all."""
+    framed(records, kind).write.mode("append").parquet(path)
+
+
+def recover(log: DataFrame, kind: int) -> DataFrame:
+    """(seq, payload) before the first record of another type or size, or whose checksum is not that of its payload."""
+    checked = with_fnv1a(log)
+    valid = (F.col("type") == kind) & (F.col("size") == F.octet_length("payload")) & (F.col("checksum") == F.col("fnv1a"))
+    return replay(checked, valid).select("seq", "payload")
+
+
+def truncate(log: DataFrame, done: int, path: str) -> None:
+    """Write what comes after record `done`, which compaction has taken into the base, as the log under another path."""
+    log.where(F.col("seq") > done).write.parquet(path)

@@ -38,3 +38,8 @@ def valid_users(users: DataFrame, col: str = "user_id") -> DataFrame:
 def save_sessions(sessions: DataFrame, path: str) -> None:
     """One JSON object a session, in folders by session; Spark's commit makes the replacement whole."""
     sessions.write.mode("overwrite").json(path)
+
+
+def load_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Sessions as save_sessions wrote them; their schema is the caller's."""
+    return spark.read.schema(schema).json(path)

@@ -1,4 +1,4 @@
-"""Telemetry on streams: the drift monitor and the cache, whose state is bounded for each session."""
+"""Telemetry on streams: the drift monitor, whose state is bounded for each session."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from engrama.operators import cache, telemetry
+from engrama.operators import telemetry
 
 ROW = "session_id string, seq long, hit boolean, hit_rate double, drift double, alert boolean"
 STATE = "n long, weighted binary, recent binary, hits binary, dim int"
-CACHE_STATE = "ids binary, vectors binary, dim int"
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -57,7 +56,7 @@ class Monitor:
         return out
 
 
-def monitored(stream: DataFrame, hit: float = telemetry.HIT) -> DataFrame:
+def monitored(stream: DataFrame, hit: float = telemetry.COLD) -> DataFrame:
     """ROW for each query (session_id, seq, qv, best_similarity) of a stream; queries of a session must come in order."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,23 +69,3 @@ def monitored(stream: DataFrame, hit: float = telemetry.HIT) -> DataFrame:
         yield pd.DataFrame(out, columns=["session_id", "seq", "hit", "hit_rate", "drift", "alert"])
 
     return stream.groupBy("session_id").applyInPandasWithState(run, ROW, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def cached(stream: DataFrame, slots: int = cache.SLOTS, threshold: float = cache.HIT) -> DataFrame:
-    """(session_id, seq, hit, node_id) of a stream of lookups (session_id, seq, qv, best_id, best_v), a cache a session."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("seq")
-        held: list[tuple[int, np.ndarray]] = []
-        if state.exists:
-            ids, vectors, dim = state.get
-            held = list(zip(np.frombuffer(ids, np.int64).tolist(), np.frombuffer(vectors).reshape(-1, dim), strict=True))
-        todo = [(int(s), np.asarray(q, float), int(i), np.asarray(v, float)) for s, q, i, v in zip(rows["seq"], rows["qv"], rows["best_id"], rows["best_v"], strict=True)]
-        out, held = cache.simulate_session(todo, slots, threshold, held)
-        dim = len(todo[0][1])
-        state.update((np.array([i for i, _ in held], np.int64).tobytes(), np.array([v for _, v in held]).tobytes(), dim))
-        frame = pd.DataFrame(out, columns=["seq", "hit", "node_id"])
-        frame.insert(0, "session_id", key[0])
-        yield frame
-
-    return stream.groupBy("session_id").applyInPandasWithState(run, "session_id string, seq long, hit boolean, node_id long", CACHE_STATE, "append", GroupStateTimeout.NoTimeout)

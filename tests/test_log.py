@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from engrama.operators import cache, graph, telemetry, trace
 from engrama.sources import logs, transcripts
-from engrama.sources.store import Store
+from engrama.sources.store import Conflict, Store
 from engrama.streaming import logs as stream_logs
-from engrama.streaming import telemetry as stream_telemetry
 
 EVENT = "id long, session_id string, role int, text string, flags int"
 
@@ -94,36 +93,6 @@ def naive_cache(rows, slots, threshold):
     return out
 
 
-def lookups(n=60, dim=3, seed=4):
-    rng = np.random.default_rng(seed)
-    nodes = rng.normal(size=(12, dim))
-    return [(i, rng.normal(size=dim), int(k := rng.integers(12)), nodes[k]) for i in range(n)]
-
-
-def test_sequential_cache(spark):
-    rows = lookups()
-    want = naive_cache(rows, 4, 0.9)
-    assert cache.simulate_session(rows, 4, 0.9)[0] == want
-    halves, held = cache.simulate_session(rows[:30], 4, 0.9)
-    assert halves + cache.simulate_session(rows[30:], 4, 0.9, held)[0] == want
-    df = spark.createDataFrame([("s", i, q.tolist(), k, v.tolist()) for i, q, k, v in rows], "session_id string, seq long, qv array<double>, best_id long, best_v array<double>")
-    got = cache.simulate(df, 4, 0.9).orderBy("seq").collect()
-    assert [(r["seq"], r["hit"], r["node_id"]) for r in got] == want
-
-
-def test_cached_stream_equals_the_batch(spark, tmp_path):
-    rows = lookups(40)
-    df = spark.createDataFrame([("s", i, q.tolist(), k, v.tolist()) for i, q, k, v in rows], "session_id string, seq long, qv array<double>, best_id long, best_v array<double>")
-    df.where("seq < 20").coalesce(1).write.parquet(str(tmp_path / "in/a"))
-    df.where("seq >= 20").coalesce(1).write.parquet(str(tmp_path / "in/b"))
-    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = str(tmp_path / "out")
-    q = stream_telemetry.cached(stream, 4, 0.9).writeStream.foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.read.parquet(out).orderBy("seq").collect()
-    assert [(r["seq"], r["hit"], r["node_id"]) for r in got] == naive_cache(rows, 4, 0.9)
-
-
 def test_ema_has_the_closed_form(spark):
     rows = spark.createDataFrame([("s", i, [float(x)], 1.0) for i, x in enumerate([1, 2, 3])], "session_id string, seq long, qv array<double>, best_similarity double")
     got = [r["ema"] for r in telemetry.historical_centroid(rows).orderBy("seq").collect()]
@@ -187,6 +156,49 @@ def test_store_generations(spark, tmp_path):
     assert again.meta["dim"] == 4 and again.generation == 1
 
 
+def test_store_loses_nothing_while_it_compacts(spark, tmp_path):
+    schema = "id long, flags int, text string"
+    row = lambda i, flags=0: spark.createDataFrame([(i, flags, f"t{i}")], schema)
+    s = Store(spark, f"file://{tmp_path}/store", schema)
+    s.append(row(1))
+    s.append(row(2, 1))
+    at = s.snapshot()
+    kept = s.read(at).where("flags = 0")
+    s.append(row(3))
+    assert s.publish(kept, at) == 1
+    assert sorted(r["id"] for r in s.read().collect()) == [1, 3]
+    with pytest.raises(Conflict):
+        s.publish(kept, at)
+    assert sorted(r["id"] for r in s.read().collect()) == [1, 3] and s.compact() == 2
+    assert sorted(r["id"] for r in s.read().collect()) == [1, 3] and s.compact() == 2
+
+
+def test_log_is_recovered_and_truncated(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"payload {i}") for i in range(1, 9)], "seq long, payload string")
+    path = f"file://{tmp_path}/wal"
+    logs.append(rows.where("seq <= 4"), path, 1)
+    logs.append(rows.where("seq > 4"), path, 1)
+    log = spark.read.parquet(path)
+    assert logs.recover(log, 1).count() == 8 and logs.recover(log, 2).count() == 0
+    torn = log.withColumn("size", F.when(F.col("seq") == 6, F.col("size") + 1).otherwise(F.col("size")))
+    assert sorted(r["seq"] for r in logs.recover(torn, 1).collect()) == [1, 2, 3, 4, 5]
+    logs.truncate(log, 5, f"{path}-2")
+    assert sorted(r["seq"] for r in logs.recover(spark.read.parquet(f"{path}-2"), 1).collect()) == [6, 7, 8]
+
+
+def test_previews_stand_in_for_missing_texts(spark):
+    e = spark.createDataFrame([(1, "whole", "who"), (2, None, "pre"), (3, "", "pre"), (4, None, None)], "id long, text string, text_preview string")
+    assert [r["full_text"] for r in trace.full_text(e).orderBy("id").collect()] == ["whole", "pre", "pre", None]
+    assert trace.history(events(spark, 3), 0).count() == 1
+
+
+def test_sessions_round_trip(spark, tmp_path):
+    schema = "session_id string, turns array<struct<role: string, text: string>>"
+    rows = [("a", [("user", "q"), ("assistant", "x")]), ("b", [])]
+    transcripts.save_sessions(spark.createDataFrame(rows, schema), str(tmp_path / "s"))
+    assert sorted((r[0], [tuple(t) for t in r[1]]) for r in transcripts.load_sessions(spark, str(tmp_path / "s"), schema).collect()) == rows
+
+
 def test_store_refuses_unknown_versions(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     Store(spark, path, "id long", {"version": 9})
