@@ -106,9 +106,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _distinct(spark: SparkSession, lines: DataFrame) -> str:
     """The name of a table (lid, line) of the distinct lines, bucketed by lid; its files lie in the shared folder."""
     name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql(f"CREATE TABLE {name} (lid BIGINT, line STRING) USING parquet OPTIONS (compression 'zstd') CLUSTERED BY (lid) SORTED BY (lid) INTO {buckets} BUCKETS LOCATION '{shared_dir(spark, 'lines')}'")
     rows = lines.select("lid", "line").dropDuplicates(["lid"])  # dealt by lid into as many partitions: a bucket is one file
-    with shuffles_dropped(spark):
-        rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", shared_dir(spark, "lines")).saveAsTable(name)
+    with shuffles_dropped(spark):  # for an insert it works, for a table created from a query it doesn't
+        rows.write.insertInto(name)
     return name
 
 
@@ -137,11 +138,12 @@ def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     bands = bands_for(similarity, len(ORDERS), recall)
     near = lambda x, y: close(x, y, -(-bands // 4))
     signs = stage(_signatures(spark.table(table), bands), "line-signatures")
-    posts = signs.select("id", "sketch", F.explode("bands").alias("bucket"))
-    buckets = posts.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    members = stage(posts.join(buckets.hint("shuffle_merge"), "bucket").select("bucket", "id", "sketch"), "line-postings")
-    found = members.select(F.col("id").alias("lid"), "sketch").distinct().hint("shuffle_merge")  # the same plan at every size
-    texts = stage(spark.table(table).join(found, "lid"), "line-texts")
+    posts = signs.select("id", F.explode("bands").alias("bucket"))
+    buckets = posts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    members = stage(posts.join(buckets.hint("shuffle_merge"), "bucket").select("bucket", "id"), "line-postings")
+    # sketches and texts follow the ids that are left, so that postings are two longs; the same plan at every size
+    found = signs.select("id", "sketch").join(members.select("id").distinct().hint("shuffle_merge"), "id", "left_semi")
+    texts = stage(spark.table(table).join(found.withColumnRenamed("id", "lid").hint("shuffle_merge"), "lid"), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge"), "a")
