@@ -33,6 +33,7 @@ from .links import link_classes
 
 SHINGLE = 8
 WIDTH = 4  # bytes of a character in UTF-32
+EDGE = " \t\r\x0b\x0c"
 BLOCK_LINES = 256
 LAST = (1 << 63) - 1
 MOST_APART = 20  # of 48 minima
@@ -48,8 +49,16 @@ def bands_for(similarity: float, rows: int, recall: float) -> int:
     return bands
 
 
+def trimmed(line: Column) -> Column:
+    """Without white space at the ends; trimming walks over the whole line, so only lines that need it are trimmed."""
+    needed = F.lit(False)
+    for c in EDGE:
+        needed = needed | line.startswith(c) | line.endswith(c)
+    return F.when(needed, F.btrim(line, F.lit(EDGE))).otherwise(line)
+
+
 def normal(line: Column) -> Column:
-    return F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c"))
+    return F.lower(trimmed(line))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,7 +108,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc (null last), tk (hash of the text), pos, line (normal form), lid (its hash), without blank lines."""
     out = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tk"), _split(text_col).alias("lines"))
     out = out.select("doc", "tk", F.posexplode("lines").alias("pos", "line"))
-    out = out.withColumn("line", normal(F.col("line"))).where("line <> ''")
+    out = out.where(trimmed(F.col("line")) != "").withColumn("line", normal(F.col("line")))
     return out.withColumn("lid", F.xxhash64("line"))
 
 
