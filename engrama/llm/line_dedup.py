@@ -7,12 +7,13 @@ hash puts it into one of 12 classes. In each class the minima of hash ^ constant
 aggregation in generated code; together they are one band. So a shingle costs four minima instead of 48, and as a class of
 shingles has the similarity of the whole on average, the twelve bands find a pair of similarity 0.8 with probability 0.998
 at least (bands_for: of all ways a mean of fourth powers can come about, an even one gives the fewest matches), and one of
-0.85 with 0.9999. One bit of each minimum makes a sketch of 48 bits; candidates that differ in more than SKETCH_BITS of them
-are given up unread: at 0.8 a pair differs in 4.8 on average with a deviation of about 2.6. What is left is confirmed by the
+0.85 with 0.9999. Four bits of each minimum make a sketch; candidates that differ in more than MOST_APART of the 48 minima
+are given up unread: at 0.8 a pair differs in 9 on average with a deviation of about 2.7. What is left is confirmed by the
 exact Jaccard similarity of all shingles. Candidates are compared by leaders and open classes (link_classes); distributed
 union-find gives components, and of all lines of a component the first, by id of the document and place in it, stays.
 
-The distinct lines are a table bucketed by their hash, so that signing them and fetching the candidates moves no text again.
+The distinct lines are a table bucketed by their hash, and so are their bands: signing lines, making sketches of those that
+share a band with another line, and fetching their texts moves neither again. Sketches are made of these lines only.
 
 Cases: blank lines are no lines and always stay; a null text has no lines and stays null; rows with one id and different
 texts are told apart by a hash of the text, fully equal rows with one id are treated alike: a line first found in them stays
@@ -23,7 +24,8 @@ are untouched.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,17 +114,35 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("lid", F.xxhash64("line"))
 
 
-def _distinct(spark: SparkSession, lines: DataFrame) -> str:
-    """The name of a table (lid, line) of the distinct lines, bucketed by lid; its files lie in the shared folder."""
-    name, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = lines.select("lid", "line").dropDuplicates(["lid"])  # dealt by lid into as many partitions: a bucket is one file
+def _bucketed(rows: DataFrame, name: str, key: str) -> str:
+    """The name of a new table of rows, dealt by key already, bucketed and sorted by it; its files lie in the shared folder."""
+    spark = rows.sparkSession
+    table, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     with shuffles_dropped(spark):
-        rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", shared_dir(spark, "lines")).saveAsTable(name)
-    return name
+        rows.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").format("parquet").option("path", shared_dir(spark, name)).saveAsTable(table)
+    return table
+
+
+def _distinct(lines: DataFrame) -> str:
+    """A table (lid, line) of the distinct lines."""
+    return _bucketed(lines.select("lid", "line").dropDuplicates(["lid"]), "lines", "lid")
+
+
+@contextmanager
+def _wide_first_map(spark: SparkSession) -> Iterator[None]:
+    """A write made inside aggregates in a first-level map of a million groups (64 MB at most) before the general one."""
+    name = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _signatures(lines: DataFrame, bands: int) -> DataFrame:
-    """(id, bands, sketch) of lines (lid, line): a key for each class that has shingles, and a bit of each minimum."""
+    """(id, key, word, bits) of lines (lid, line): for each class that has shingles, the key of its band and its part of the
+    sketch, some bits of the long that has the number word."""
     coded = lines.select("lid", wide(F.col("line")).alias("coded"))
     each = coded.select("lid", "coded", F.explode(starts(F.col("coded"))).alias("k")).select("lid", shingle_hash(F.col("coded"), F.col("k")).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{r}") for r, c in enumerate(ORDERS)]
@@ -131,27 +151,33 @@ def _signatures(lines: DataFrame, bands: int) -> DataFrame:
     for r in range(len(ORDERS)):
         bits = bits.bitwiseOR(F.shiftleft(F.shiftright(f"m{r}", 17).bitwiseAND(F.lit(15)), 4 * r))
     keyed = by_class.select("lid", "class", F.xxhash64("class", *[f"m{r}" for r in range(len(ORDERS))]).alias("key"), bits.alias("bits"))
-    keys = [F.max(F.when(F.col("class") == c, F.col("key"))).alias(f"k{c}") for c in range(bands)]
     place = F.expr("shiftleft(bits, cast(class % 4 * 16 as int))")  # four classes in a long
-    sketch = [F.bit_or(F.when(F.floor(F.col("class") / 4) == k, place).otherwise(F.lit(0).cast("long"))).alias(f"s{k}") for k in range(-(-bands // 4))]
-    out = keyed.groupBy("lid").agg(*keys, *sketch)
-    return out.select(F.col("lid").alias("id"), F.array_compact(F.array(*[f"k{c}" for c in range(bands)])).alias("bands"), F.array(*[f"s{k}" for k in range(len(sketch))]).alias("sketch"))
+    return keyed.select(F.col("lid").alias("id"), "key", F.expr("class div 4").cast("int").alias("word"), place.alias("bits"))
+
+
+def _sketches(signs: DataFrame, bands: int) -> DataFrame:
+    """(lid, sketch) of signatures."""
+    parts = [F.bit_or(F.when(F.col("word") == k, F.col("bits")).otherwise(F.lit(0).cast("long"))) for k in range(-(-bands // 4))]
+    return signs.groupBy(F.col("id").alias("lid")).agg(F.array(*parts).alias("sketch"))
 
 
 def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.998, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Places of lines (doc, tk, pos, lid), staged, and classes (id, component) of the hashes of lines that have links."""
     spark, lines = docs.sparkSession, _lines(docs, id_col, text_col)
     places = stage(lines.select("doc", "tk", "pos", "lid"), "line-places")
-    table = _distinct(spark, lines)
+    table = _distinct(lines)
     bands = bands_for(similarity, len(ORDERS), recall)
     near = lambda x, y: close(x, y, -(-bands // 4))
-    signs = stage(_signatures(spark.table(table), bands), "line-signatures")
-    posts = signs.select("id", F.explode("bands").alias("bucket"))
+    with _wide_first_map(spark):
+        signed = _bucketed(_signatures(spark.table(table), bands), "signatures", "id")
+    signs = spark.table(signed)
+    posts = signs.select("id", F.col("key").alias("bucket"))
     buckets = posts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(posts.join(buckets.hint("shuffle_merge"), "bucket").select("bucket", "id"), "line-postings")
+    members = stage(posts.join(buckets.hint("shuffle_hash"), "bucket").select("bucket", "id"), "line-postings")
+    # what is hashed here are longs, each of them once: buckets that two lines share at least, and ids of lines in them
     # sketches and texts follow the ids that are left, so that postings are two longs; the same plan at every size
-    found = signs.select("id", "sketch").join(members.select("id").distinct().hint("shuffle_merge"), "id", "left_semi")
-    texts = stage(spark.table(table).join(found.withColumnRenamed("id", "lid").hint("shuffle_merge"), "lid"), "line-texts")
+    found = _sketches(signs.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), bands)
+    texts = stage(spark.table(table).join(found.hint("shuffle_merge"), "lid"), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge"), "a")
@@ -182,7 +208,8 @@ def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
         return sides.select(F.explode(found).alias("p")).select("p.a", "p.b")
 
     classes = link_classes(members.select("bucket", "id"), confirm, confirm_lists, "lines", leaders=1)
-    spark.sql(f"DROP TABLE {table}")  # all that follows reads staged rows
+    for name in (table, signed):
+        spark.sql(f"DROP TABLE {name}")  # all that follows reads staged rows
     return places, classes
 
 
@@ -195,6 +222,7 @@ def dropped_lines(docs: DataFrame, **options) -> DataFrame:
             places = places.withColumn("c", F.col("lid"))
         else:
             places = places.join(classes, F.col("lid") == F.col("id"), "left").select("doc", "tk", "pos", F.coalesce("component", "lid").alias("c"))
+            places = stage(places, "line-classed")
         at = F.struct("doc", "tk", "pos")
         firsts = stage(places.groupBy("c").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
         # a line on which a large share of all documents agree is looked up by broadcast, the others by a join
