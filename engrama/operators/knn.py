@@ -1,8 +1,11 @@
 """Exact nearest neighbours of a set of queries among all nodes: both are dealt into blocks, and blocks meet in a join.
 
 A block is one row: the ids, sizes and vectors of up to BLOCK rows as bytes. Query blocks and node blocks meet on a grid of
-strips, each block of one side in every strip of the other, so that a pair of blocks is one matrix product in one task. A
-task keeps the k best of each query over all node blocks it sees, and only these are shuffled. No query passes the driver.
+strips, each block of one side in every strip of the other, so that a pair of blocks meets in one task. There it is
+multiplied in tiles of a few queries, and the k best of each query over all node blocks seen are kept; only these are
+shuffled. A matrix product rounds by position, so it only finds the candidates: their scores are summed anew in one order,
+and equal vectors have equal scores. No query passes the driver. What a task holds at once is bounded by bytes, whatever the input, k or the size of a
+vector: a batch of pairs (Spark's 64 MB and one pair), a tile of scores and the best hits so far.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,13 +22,19 @@ from pyspark.sql import functions as F
 from engrama.functions import vectors as V
 
 BLOCK = 2048
-#: So many query blocks have their best hits held in a task at once, before these are passed on as they are.
-HELD_BLOCKS = 64
+#: A block of long vectors has fewer rows, so that they take so many bytes at most.
+BLOCK_BYTES = 4 << 20
+#: Of a pair of blocks, so many bytes of scores are worked out at once.
+TILE_BYTES = 1 << 20
+#: Best hits of so many bytes are held in a task, before these are passed on as they are.
+HELD_BYTES = 16 << 20
 HIT = "qid long, id long, score double"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(1, keepdims=True)
+    square = np.zeros((len(x), 1))
+    for c in x.T:
+        square[:, 0] += c * c  # in one order, whatever zeros follow
     return np.where(square > V.ZERO_NORM, x / np.sqrt(np.maximum(square, V.ZERO_NORM)), 0.0)
 
 
@@ -55,8 +65,10 @@ def _blocks(rows: DataFrame, key: str, metric: str, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, block):
-                part = b.slice(lo, block)
+            longest = max(1, pc.max(b.column(1).value_lengths()).as_py() or 0)
+            rows = max(1, min(block, BLOCK_BYTES // (8 * longest)))
+            for lo in range(0, b.num_rows, rows):
+                part = b.slice(lo, rows)
                 x, sizes = _matrix(part.column(1))
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (ids, sizes, prepare(x))], ["ids", "sizes", "vectors"])
@@ -90,15 +102,53 @@ def _met(queries: DataFrame, nodes: DataFrame, metric: str, block: int) -> DataF
     return n.join(q, ["i", "j"]).select("q.*", F.col("n.ids").alias("n_ids"), F.col("n.sizes").alias("n_sizes"), F.col("n.vectors").alias("n_vectors"))
 
 
-def _scores(b: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of queries, ids of nodes, scores) of a pair of blocks; vectors of different sizes score 0."""
-    q_ids, q_sizes, q, n_ids, n_sizes, n = (np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in enumerate((np.int64, np.int32, float) * 2))
-    q, n = q.reshape(len(q_ids), -1), n.reshape(len(n_ids), -1)
-    common = min(q.shape[1], n.shape[1])
-    scores = q[:, :common] @ n[:, :common].T
-    if (q_sizes != n_sizes[0]).any() or (n_sizes != n_sizes[0]).any():
-        scores = np.where(q_sizes[:, None] == n_sizes, scores, 0.0)
-    return q_ids, n_ids, scores
+class _Pair:
+    """A pair of blocks: what it scores, TILE_BYTES at a time. Vectors of different sizes score 0."""
+
+    def __init__(self, b: pa.RecordBatch, row: int):
+        types = (np.int64, np.int32, float) * 2
+        self.q_ids, self.q_sizes, q, self.n_ids, self.n_sizes, n = (np.frombuffer(b.column(c)[row].as_buffer(), t) for c, t in enumerate(types))
+        q, n = q.reshape(len(self.q_ids), -1), n.reshape(len(self.n_ids), -1)
+        common = min(q.shape[1], n.shape[1])
+        self.q, self.n = q[:, :common], n[:, :common]
+        self.one_size = (self.q_sizes == self.n_sizes[0]).all() and (self.n_sizes == self.n_sizes[0]).all()
+        longest = np.sqrt(np.einsum("ij,ij->i", self.n, self.n).max())
+        #: For each query, more than two ways of summing a score can lie apart.
+        self.slack = 4 * common * np.finfo(float).eps * longest * np.sqrt(np.einsum("ij,ij->i", self.q, self.q))
+
+    def tiles(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(first query, rough scores)."""
+        step = max(1, TILE_BYTES // (8 * len(self.n)))
+        for lo in range(0, len(self.q), step):
+            scores = self.q[lo : lo + step] @ self.n.T
+            yield lo, scores if self.one_size else np.where(self.q_sizes[lo : lo + step, None] == self.n_sizes, scores, 0.0)
+
+    def exact(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """The scores of queries at and nodes to, summed in the order of the dimensions."""
+        out = np.zeros(len(at))
+        for x, y in zip(self.q.T, self.n.T):
+            out += x[at] * y[to]
+        return out if self.one_size else np.where(self.q_sizes[at] == self.n_sizes[to], out, 0.0)
+
+    def best(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best nodes of each query: (scores, ids)."""
+        k, parts = min(k, len(self.n)), []
+        for lo, rough in self.tiles():
+            bound = np.partition(rough, rough.shape[1] - k, axis=1)[:, -k:].min(1)
+            at, to = np.nonzero(~(rough < (bound - self.slack[lo : lo + len(rough)])[:, None]))
+            scores, ids = self.exact(lo + at, to), self.n_ids[to]
+            order = np.lexsort((ids, -scores, at))
+            pick = order[np.searchsorted(at, np.arange(len(rough)))[:, None] + np.arange(k)]
+            parts.append((scores[pick], ids[pick]))
+        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
+
+    def above(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of queries, ids of nodes, scores) above the threshold."""
+        for lo, rough in self.tiles():
+            at, to = np.nonzero(~(rough < threshold - self.slack[lo : lo + len(rough), None]))
+            scores = self.exact(lo + at, to)
+            over = scores > threshold
+            yield self.q_ids[lo + at[over]], self.n_ids[to[over]], scores[over]
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -113,24 +163,32 @@ def knn(queries: DataFrame, nodes: DataFrame, k: int, metric: str = "cosine", bl
     Rows without a vector are left out; vectors of different sizes, and zero vectors, score 0.
     """
 
-    def hits(q_ids: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(scores.ravel())], ["qid", "id", "score"])
+    def hits(name: bytes, own: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        q_ids, (scores, ids) = np.frombuffer(name, np.int64), own
+        step = max(1, TILE_BYTES // (8 * ids.shape[1]))
+        for lo in range(0, len(q_ids), step):
+            columns = np.repeat(q_ids[lo : lo + step], ids.shape[1]), ids[lo : lo + step].ravel(), scores[lo : lo + step].ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
         for b in batches:
             for row in range(b.num_rows):
-                q_ids, n_ids, scores = _scores(b, row)
-                own = top_in_batch(scores, np.broadcast_to(n_ids, scores.shape), k)
-                name = b.column(0)[row].as_buffer().to_pybytes()
+                own, name = _Pair(b, row).best(k), b.column(0)[row].as_buffer().to_pybytes()
                 if name in held:
-                    _, more, ids = held[name]
-                    own = top_in_batch(np.hstack([own[0], more]), np.hstack([own[1], ids]), k)
-                elif len(held) == HELD_BLOCKS:
-                    yield from (hits(*h) for h in held.values())
-                    held = {}
-                held[name] = (np.array(q_ids), *own)
-        yield from (hits(*h) for h in held.values())
+                    more = held.pop(name)
+                    size -= 2 * more[0].nbytes
+                    own = top_in_batch(np.hstack([own[0], more[0]]), np.hstack([own[1], more[1]]), k)
+                held[name] = own
+                size += 2 * own[0].nbytes
+                if size > HELD_BYTES:
+                    while held:
+                        yield from hits(*held.popitem())
+                    size = 0
+            b = None  # before the next batch is read
+        while held:
+            yield from hits(*held.popitem())
 
     if k < 1:
         return queries.sparkSession.sql("SELECT CAST(NULL AS LONG) qid, CAST(NULL AS LONG) id, CAST(NULL AS DOUBLE) score, 0 rank WHERE false")
@@ -143,9 +201,8 @@ def similar_above(queries: DataFrame, nodes: DataFrame, threshold: float, block:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                q_ids, n_ids, scores = _scores(b, row)
-                at, to = np.nonzero(scores > threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(n_ids[to]), pa.array(scores[at, to])], ["qid", "id", "score"])
+                for columns in _Pair(b, row).above(threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["qid", "id", "score"])
 
     return _met(queries, nodes, "cosine", block).mapInArrow(run, HIT)
 

@@ -183,6 +183,43 @@ def test_knn_in_many_blocks_equals_one_product(spark):
     assert near == (scores > 0.9 * norm + 1e-12)[norm > 0].sum() if norm.all() else near > 0
 
 
+def test_knn_of_copies_takes_the_smallest_ids(spark):
+    """Equal vectors have equal scores wherever they lie in a block, and whatever longer vectors lie beside them."""
+    rng = np.random.default_rng(11)
+    base, y = rng.normal(size=(37, 64)), rng.normal(size=(50, 64))
+    rows = [(i, base[i % 37].tolist()) for i in range(37 * 40)]
+    n = spark.createDataFrame([*rows, (9000, [1.0] * 71)], "id long, v array<double>").coalesce(1)
+    want = np.argmax(y @ (base / np.linalg.norm(base, axis=1)[:, None]).T, axis=1)
+    for block in (128, 2048):
+        got = knn.knn(queries(spark, y), n, 30, block=block).groupBy("qid").agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+        assert all(r["ids"] == [int(want[r["qid"]]) + 37 * j for j in range(30)] for r in got) and len(got) == 50
+
+
+def test_a_pair_of_blocks_is_scored_in_little_memory():
+    """The scores of two full blocks would be 32 MB; long vectors make smaller blocks, and best hits are passed on by bytes."""
+    import pyarrow as pa
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2, knn.BLOCK, 64))
+    sizes = np.full(knn.BLOCK, 64, np.int32)
+    columns = [pa.array([a.tobytes()], pa.binary()) for v in x for a in (np.arange(knn.BLOCK), sizes, v)]
+    b = pa.RecordBatch.from_arrays(columns, list("abcdef"))
+    tracemalloc.start()
+    scores, ids = knn._Pair(b, 0).best(5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 << 20
+    want = np.sort(x[0] @ x[1].T, axis=1)[:, ::-1][:, :5]
+    assert np.allclose(scores, want) and np.allclose(scores, np.einsum("qd,qkd->qk", x[0], x[1][ids]))
+
+
+def test_long_vectors_make_small_blocks(spark):
+    n = spark.range(300).select("id", F.array_repeat(F.lit(1.0), 16384).alias("v")).coalesce(1)
+    rows = knn._blocks(n, "id", "cosine", knn.BLOCK).select(F.octet_length("ids") / 8, F.octet_length("vectors")).collect()
+    assert sum(r[0] for r in rows) == 300 and max(r[1] for r in rows) <= 4 << 20
+
+
 def test_insert_checks(spark):
     n = store(spark, [(0, None, [0, 0], 0, "r")])
     new = lambda *rows: spark.createDataFrame(rows, "seq long, parent_id long, v array<double>, metadata string")
