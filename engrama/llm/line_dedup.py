@@ -161,6 +161,14 @@ def _sketches(signs: DataFrame, bands: int) -> DataFrame:
     return signs.groupBy(F.col("id").alias("lid")).agg(F.array(*parts).alias("sketch"))
 
 
+def _postings(signs: DataFrame) -> DataFrame:
+    """(bucket, id) of the bands that two lines share at least. They are dealt once: the smallest and the largest id need the
+    same columns as the join, so both read one exchange."""
+    posts = signs.select("id", F.col("key").alias("bucket")).repartition("bucket")
+    buckets = posts.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("bucket")
+    return posts.join(buckets.hint("shuffle_hash"), "bucket").select("bucket", "id")
+
+
 def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.998, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Places of lines (doc, tk, pos, lid), staged, and classes (id, component) of the hashes of lines that have links."""
     spark, lines = docs.sparkSession, _lines(docs, id_col, text_col)
@@ -171,9 +179,7 @@ def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.
     with _wide_first_map(spark):
         signed = _bucketed(_signatures(spark.table(table), bands), "signatures", "id")
     signs = spark.table(signed)
-    posts = signs.select("id", F.col("key").alias("bucket"))
-    buckets = posts.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stage(posts.join(buckets.hint("shuffle_hash"), "bucket").select("bucket", "id"), "line-postings")
+    members = stage(_postings(signs), "line-postings")
     # what is hashed here are longs, each of them once: buckets that two lines share at least, and ids of lines in them
     # sketches and texts follow the ids that are left, so that postings are two longs; the same plan at every size
     found = _sketches(signs.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), bands)

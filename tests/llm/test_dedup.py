@@ -242,3 +242,12 @@ def test_lines_recall_by_length(spark):
 def test_bands():
     assert line_dedup.bands_for(0.8, 4, 0.994) == 10
     assert licenses.bands_for(0.5, 0.999) == 10
+
+
+def test_postings_of_lines_are_dealt_once(spark):
+    signs = spark.createDataFrame([(i, k) for i in range(200) for k in (i % 150, 1000 + i)], "id long, key long").coalesce(2)
+    got = line_dedup._postings(signs)
+    assert sorted(got.collect()) == sorted((i % 150, i) for i in range(200) if i % 150 < 50)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1 and "hashpartitioning(bucket" in final
