@@ -12,8 +12,8 @@ are given up unread: at 0.8 a pair differs in 9 on average with a deviation of a
 exact Jaccard similarity of all shingles. Candidates are compared by leaders and open classes (link_classes); distributed
 union-find gives components, and of all lines of a component the first, by id of the document and place in it, stays.
 
-The distinct lines are a table bucketed by their hash, and so are their bands: signing lines, making sketches of those that
-share a band with another line, and fetching their texts moves neither again. Sketches are made of these lines only.
+The distinct lines are a table bucketed by their hash: signing lines, making sketches of those that share a band with another
+line, and fetching their texts moves them no more. Sketches are made of these lines only.
 
 Cases: blank lines are no lines and always stay; a null text has no lines and stays null; rows with one id and different
 texts are told apart by a hash of the text, fully equal rows with one id are treated alike: a line first found in them stays
@@ -82,13 +82,23 @@ def shingle_hash(coded: Column, start: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of all distinct shingles."""
-    return let(wide(line), lambda coded: F.array_distinct(F.transform(starts(coded), lambda k: shingle_hash(coded, k))))
+    """The hashes of all shingles, repeats included. What is done to them is to stand outside any lambda, where the functions
+    of sets work on primitive values in generated code, and in a later select, as what holds a lambda is worked out anew
+    wherever it is named."""
+    return let(wide(line), lambda coded: F.transform(starts(coded), lambda k: shingle_hash(coded, k)))
+
+
+def least_common(total: Column, similarity: float) -> Column:
+    """The fewest common members by which two sets that have so many members together reach the Jaccard similarity."""
+    holds = lambda both: both >= F.lit(similarity) * (total - both)
+    about = F.floor(total * F.lit(similarity / (1 + similarity))).cast("int")  # rounding may put it one off
+    return F.when(holds(about - 1), about - 1).when(holds(about), about).otherwise(about + 1)
 
 
 def alike(one: Column, two: Column, similarity: float) -> Column:
-    """Whether two sets of shingles have the Jaccard similarity."""
-    return let(F.size(F.array_intersect(one, two)), lambda both: both >= F.lit(similarity) * (F.size(one) + F.size(two) - both))
+    """Whether two arrays without repeats have the Jaccard similarity as sets; sizes too far apart are told from the sizes."""
+    n, m = F.size(one), F.size(two)
+    return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m)) & (F.size(F.array_intersect(one, two)) >= least_common(n + m, similarity))
 
 
 def close(one: Column, two: Column, longs: int) -> Column:
@@ -102,6 +112,14 @@ def close(one: Column, two: Column, longs: int) -> Column:
     return apart <= MOST_APART
 
 
+def compared(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, same) of pairs (a, b, line_a, line_b): whether the lines have the similarity. Each line is cut once, in a select
+    of its own; a filter on the outcome would be moved below it and cut them for each mention, so it is to follow a stage."""
+    sides = pairs.select("a", "b", shingles(F.col("line_a")).alias("one"), shingles(F.col("line_b")).alias("two"))
+    same = F.size(F.array_intersect("one", "two")) >= F.lit(similarity) * F.size(F.array_union("one", "two"))
+    return sides.select("a", "b", same.alias("same"))
+
+
 def _split(text_col: str) -> Column:
     return F.split(text_col, "\n", -1)
 
@@ -114,20 +132,17 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.withColumn("lid", F.xxhash64("line"))
 
 
-def _bucketed(rows: DataFrame, name: str, key: str) -> str:
-    """The name of a new table of rows, dealt by key already, bucketed and sorted by it; its files lie in the shared folder."""
-    spark = rows.sparkSession
-    table, buckets = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _distinct(lines: DataFrame) -> str:
+    """The name of a new table (lid, line) of the distinct lines, bucketed and sorted by lid; its files lie in the shared
+    folder and outlive one scratch()."""
+    spark = lines.sparkSession
+    table, buckets = f"lines_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, path = lines.select("lid", "line").dropDuplicates(["lid"]), shared_dir(spark, "lines", keep=True)
     with shuffles_dropped(spark):
-        rows.write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").format("parquet").option("path", shared_dir(spark, name)).saveAsTable(table)
+        rows.write.bucketBy(buckets, "lid").sortBy("lid").option("compression", "zstd").format("parquet").option("path", path).saveAsTable(table)
     return table
 
 
-def _distinct(lines: DataFrame) -> str:
-    """A table (lid, line) of the distinct lines."""
-    return _bucketed(lines.select("lid", "line").dropDuplicates(["lid"]), "lines", "lid")
-
-
 @contextmanager
 def _wide_first_map(spark: SparkSession) -> Iterator[None]:
     """A write made inside aggregates in a first-level map of a million groups (64 MB at most) before the general one."""
@@ -171,51 +186,54 @@ def _postings(signs: DataFrame) -> DataFrame:
 
 def line_components(docs: DataFrame, similarity: float = 0.8, recall: float = 0.998, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """Places of lines (doc, tk, pos, lid), staged, and classes (id, component) of the hashes of lines that have links."""
-    spark, lines = docs.sparkSession, _lines(docs, id_col, text_col)
-    places = stage(lines.select("doc", "tk", "pos", "lid"), "line-places")
-    table = _distinct(lines)
+    spark = docs.sparkSession
+    with scratch(spark):  # lines are cut once; their texts go when the table of the distinct ones is there
+        lines = stage(_lines(docs, id_col, text_col), "line-cut")
+        places = stage(lines.select("doc", "tk", "pos", "lid"), "line-places", keep=True)
+        table = _distinct(lines)
     bands = bands_for(similarity, len(ORDERS), recall)
     near = lambda x, y: close(x, y, -(-bands // 4))
     with _wide_first_map(spark):
-        signed = _bucketed(_signatures(spark.table(table), bands), "signatures", "id")
-    signs = spark.table(signed)
-    members = stage(_postings(signs), "line-postings")
+        members = stage(_postings(_signatures(spark.table(table), bands)), "line-postings")
     # what is hashed here are longs, each of them once: buckets that two lines share at least, and ids of lines in them
-    # sketches and texts follow the ids that are left, so that postings are two longs; the same plan at every size
-    found = _sketches(signs.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi"), bands)
-    texts = stage(spark.table(table).join(found.hint("shuffle_merge"), "lid"), "line-texts")
+    # lines that share a band are signed again for their sketches: cheaper than to keep the signatures of all lines
+    shared = spark.table(table).join(members.select(F.col("id").alias("lid")).distinct().hint("shuffle_hash"), "lid", "left_semi")
+    with _wide_first_map(spark):
+        texts = stage(spark.table(table).join(_sketches(_signatures(shared, bands), bands).hint("shuffle_merge"), "lid"), "line-texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("line_a"), F.col("sketch").alias("sketch_a")).hint("shuffle_merge"), "a")
         pairs = pairs.join(texts.select(F.col("lid").alias("b"), F.col("line").alias("line_b"), F.col("sketch").alias("sketch_b")).hint("shuffle_merge"), "b")
         pairs = pairs.where(near(F.col("sketch_a"), F.col("sketch_b")))
-        one, two = shingles(F.col("line_a")), shingles(F.col("line_b"))
-        both = F.size(F.array_intersect(one, two))
-        # a projection works each of these out once, in generated code; a filter would not, so it follows on the written rows
-        same = both >= F.lit(similarity) * (F.size(one) + F.size(two) - both)
-        return stage(pairs.select("a", "b", same.alias("same")), "line-compared").where("same").select("a", "b")
+        return stage(compared(pairs, similarity), "line-compared").where("same").select("a", "b")
 
     def confirm_lists(open_: DataFrame) -> DataFrame:
-        """A list is dealt into blocks of about BLOCK_LINES lines and each pair of blocks is one row, in which lines of
-        different classes are compared if this is the first list that they share; only links leave it."""
+        """A list is dealt into blocks of about BLOCK_LINES lines and each pair of blocks is one key of a join, in which lines
+        of different classes are compared if this is the first list that they share; only links leave it. Texts travel, and
+        are cut where they arrive."""
         own = members.join(open_.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_list("bucket").alias("bands"))
         each = open_.join(own, "id").join(texts.withColumnRenamed("lid", "id"), "id")
         each = each.withColumn("blocks", F.ceil(F.col("n") / BLOCK_LINES).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        i, j = F.least("block", "other"), F.greatest("block", "other")
-        line = F.struct("id", "c", "bands", "sketch", "line")
-        sides = each.groupBy("bucket", i.alias("i"), j.alias("j")).agg(F.collect_list(F.when(F.col("block") == i, line)).alias("left"), F.collect_list(F.when(F.col("block") == j, line)).alias("right"))
-        cut = lambda side: F.transform(side, lambda x: F.struct(x["id"].alias("id"), x["c"].alias("c"), x["bands"].alias("bands"), x["sketch"].alias("sketch"), shingles(x["line"]).alias("s")))
-        first = lambda x, y: F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("bucket")
-        links = lambda x, y: (x["c"] != y["c"]) & (x["id"] < y["id"]) & near(x["sketch"], y["sketch"]) & first(x, y) & alike(x["s"], y["s"], similarity)
+        each = each.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c", "bands", "sketch", "line")
+
+        def side(number: str, suffix: str) -> DataFrame:
+            rows = each.where(F.col("block") == F.col(number)).repartition("bucket", "i", "j")
+            rows = rows.select("bucket", "i", "j", "id", "c", "bands", "sketch", F.array_distinct(shingles(F.col("line"))).alias("s"))
+            return rows.select("bucket", "i", "j", *[F.col(c).alias(f"{c}_{suffix}") for c in ("id", "c", "bands", "sketch", "s")])
+
+        x, y = ({c: F.col(f"{c}_{suffix}") for c in ("id", "c", "bands", "sketch", "s")} for suffix in "xy")
         # within one block both sides are the same lines; between blocks either may have the smaller id
-        pairs = lambda l, r: F.flatten(F.transform(l, lambda x: F.transform(F.filter(r, lambda y: links(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))  # noqa: E731, E741
-        found = let(cut(F.col("left")), lambda l: F.when(F.col("i") == F.col("j"), pairs(l, l)).otherwise(let(cut(F.col("right")), lambda r: F.concat(pairs(l, r), pairs(r, l)))))  # noqa: E741
-        return sides.select(F.explode(found).alias("p")).select("p.a", "p.b")
+        once = (x["c"] != y["c"]) & ((F.col("l.i") < F.col("l.j")) | (x["id"] < y["id"]))
+        first = F.array_min(F.array_intersect(x["bands"], y["bands"])) == F.col("l.bucket")
+        keys = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("bucket", "i", "j")]
+        met = side("i", "x").alias("l").join(side("j", "y").hint("merge").alias("r"), [*keys, once & near(x["sketch"], y["sketch"])])
+        # in the join's condition the rest would make its method too long to be compiled; the explode stands in a method of its own
+        link = F.struct(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+        return met.select(F.explode(F.when(first & alike(x["s"], y["s"], similarity), F.array(link))).alias("p")).select("p.a", "p.b")
 
     classes = link_classes(members.select("bucket", "id"), confirm, confirm_lists, "lines", leaders=1)
-    for name in (table, signed):
-        spark.sql(f"DROP TABLE {name}")  # all that follows reads staged rows
+    spark.sql(f"DROP TABLE {table}")  # all that follows reads staged rows
     return places, classes
 
 
@@ -246,7 +264,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = docs.join(drops.hint("shuffle_merge"), (key == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tk")), "left")
     lines = _split(text_col)
     left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("__gone", k)), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))  # only texts that lose lines are split
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(breaks + 1).cast("long")
     n_dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
     others = [left.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return out.select(*others, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))

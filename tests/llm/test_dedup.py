@@ -5,6 +5,7 @@ import uuid
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from engrama.llm import exact_dedup, licenses, line_dedup, near_dedup
 from engrama.llm.common import components
@@ -251,3 +252,25 @@ def test_postings_of_lines_are_dealt_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") == 1 and "hashpartitioning(bucket" in final
+
+
+def test_lines_of_a_pair_are_cut_once(spark):
+    """Each side is hashed once for a pair, sets are compared outside lambdas, and the outcome is exact, repeats included."""
+    rng = random.Random(23)
+    rows = []
+    for k in range(300):
+        line = "".join(rng.choices(["ab", "the ", "\u00e9a", "ing "], k=rng.randrange(1, 60)))
+        at = rng.randrange(len(line))
+        rows.append((k, -k, line, line[:at] + rng.choice(["", "x", line]) + line[at + rng.randrange(3) :]))
+    got = line_dedup.compared(spark.createDataFrame(rows, "a long, b long, line_a string, line_b string"), 0.8)
+    want = {a: len(line_set(x) & line_set(y)) >= 0.8 * len(line_set(x) | line_set(y)) for a, _, x, y in rows}
+    assert {r["a"]: r["same"] for r in got.collect()} == want and 50 < sum(want.values()) < 250
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction(xxhash64") == 2 and "lambdafunction(size" not in plan
+
+
+def test_fewest_common_members(spark):
+    """The bound is the least number that passes the very test of the similarity."""
+    for similarity in (0.5, 0.8, 0.9):
+        got = spark.range(2, 400).select(F.col("id").cast("int").alias("t")).select("t", line_dedup.least_common(F.col("t"), similarity).alias("n")).collect()
+        assert all(r["n"] == next(n for n in range(r["t"] + 1) if n >= similarity * (r["t"] - n)) for r in got)
